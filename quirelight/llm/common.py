@@ -129,6 +129,8 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 #: White space of the contracts: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between words where punctuation does not count: all of ASCII but letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -146,11 +148,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """First and last-plus-one byte of each run without white space; texts are data[starts[i]:ends[i]], adjoining."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -161,7 +163,7 @@ def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all rows, A-Z lower-cased, and the offsets (rows + 1) of each row's words.
 
     A word's hash is a polynomial over random 64-bit byte codes, from prefix sums of the slice.
@@ -169,7 +171,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     base = int(offsets[0])
     data = data[base : int(offsets[-1])]
     bounds = offsets - base
-    begin, end = word_spans(data, bounds[:-1], bounds[1:])
+    begin, end = word_spans(data, bounds[:-1], bounds[1:], space)
     up, down = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
