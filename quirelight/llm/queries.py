@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.llm import bpe, packing, quality, toxicity
+from quirelight.llm import bpe, exact_dedup, packing, quality, toxicity
 from quirelight.llm.common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators, set here for the queries.
@@ -34,11 +34,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": exact_dedup.SQL,
+}
