@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.llm import bpe, exact_dedup, jaccard_join, packing, quality, toxicity
+from quirelight.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, toxicity
 from quirelight.llm.common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators, set here for the queries.
@@ -42,8 +42,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
