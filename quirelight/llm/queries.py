@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, toxicity
+from quirelight.llm import bpe, exact_dedup, html_text, jaccard_join, packing, pii, quality, toxicity
 from quirelight.llm.common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators, set here for the queries.
@@ -46,10 +46,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op8_exact_dedup": op8_exact_dedup,
