@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.llm import bpe, exact_dedup, html_text, jaccard_join, packing, pii, quality, toxicity, vector_join
+from quirelight.llm import bpe, context_tree, exact_dedup, html_text, jaccard_join, packing, pii, quality, toxicity, vector_join
 from quirelight.llm.common import table
 
 #: Folder of the public tokenizer files; a parameter of the operators, set here for the queries.
@@ -54,6 +54,10 @@ def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.language_model(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_vector_join": op7_vector_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_context_tree": op10_context_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
