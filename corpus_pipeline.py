@@ -1,8 +1,63 @@
-"""The corpus pipeline; stages are added as their operators are."""
+"""From raw documents to packed token sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; run() writes each result as
+Parquet in the shared folder and reads it back, so a lost executor never repeats a stage. All stages but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quirelight.llm import exact_dedup, jaccard_join, packing, pii, toxicity
+from quirelight.llm.common import durable, table
+from quirelight.llm.queries import tokenizer
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts as toxic go."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among the dropped; Spark broadcasts those only while their table is small."""
+    return docs.join(durable(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
+    return _without(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the row with the smallest doc_id stays."""
+    return _without(docs, jaccard_join.near_duplicates(docs).filter("doc_id <> component_id"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are generalised and the terms that disclose it removed; n_chars follows the text."""
+    return pii.sanitise(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("pii", sanitise),
+    ("packing", pack),
+]
+
+#: SQL has neither the tokenizer nor the learned model; tests hold run() against plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return docs
