@@ -159,13 +159,19 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, Data
     total = docs.count()
     together = words.join(pairs, ["entity", "term"]).select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
     entities = words.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    terms = pairs.select("term").distinct()
+    # df(t) of a disclosing pair is at most both * (N / of_entity) ** (1 - DISCLOSURE), and no less than the rows with t in
+    # a context: common words fall out here, exactly, before the corpus is counted
+    beside = words.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("beside"))
+    most = F.col("both") * F.pow(F.lit(float(total)) / F.col("of_entity"), F.lit(1 - DISCLOSURE))
+    rare = together.join(entities, "entity").join(beside, "term").filter(F.col("beside") <= most * 1.000001)
+    rare = durable(rare.select("entity", "term", "both", "of_entity"), "rare")
+    terms = rare.select("term").distinct()
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
     # document frequency over the whole corpus; partial counts go ahead of the shuffle
     spread = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("term"))
     df = spread.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
-    joined = pairs.join(together, ["entity", "term"]).join(entities, "entity").join(df, "term")
+    joined = rare.join(df, "term")
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("of_term").cast("double") * F.col("of_entity")))
     information = F.log2(F.lit(float(total)) / F.col("of_entity"))
     return durable(joined.filter((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term"), "disclosing"), words
