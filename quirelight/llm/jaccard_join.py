@@ -2,14 +2,15 @@
 
 A document is the set of its hashed five-word shingles. Shingles get one global order: by estimated document
 frequency, rarest first, ties by hash. If two sets have a Jaccard similarity of t or more, the prefixes of
-|x| - ceil(t|x|) + m shingles share at least m of them, for any m. Each document takes the m (1 to MATCHES) with
+|x| - ceil(t|x|) + m shingles share at least m of them, for any m; of the smaller set the first |x| - ceil(2t|x| / (1 + t)) + m
+are enough. Each document takes the m of MATCHES with
 the least estimated cost: a longer prefix costs more postings, and asks for more shared shingles before a pair is verified.
-A pair needs as many shared prefix shingles as the smaller m of the two.
+Once a pair's sizes are known, it needs the smaller m of the two and what its overlap needs more than either prefix supposed.
 
 1. One pass hashes every document: its set's size and id (equal sets share an id), and a count sketch of a fixed size.
 2. A second pass sends prefix postings to owners of shingle ranges, each task sending equal sets once. Owners
    keep the shingles that two or more sets have.
-3. Sets are verified against the first set of their shingle's list; that joins most groups in few pairs. Then
+3. Sets are verified against the most central set of their shingle's list; that joins most groups in few pairs. Then
    every pair of one list whose sets are not yet in one component is counted, held against m, and verified. Only pairs
    inside a component are left out, and they cannot change it.
 4. Verification compares whole sets of 64-bit hashes; only sets that are in a pair are shuffled.
@@ -33,13 +34,17 @@ from quirelight.llm.common import buffers_of, components, durable, in_bitmap, ke
 WORDS = 5
 #: Similarity in percent.
 PERCENT = 80
-#: The most shared prefix shingles that a document may ask for.
-MATCHES = 4
-#: Slots of the count sketch: 4 MB whatever the input. Its errors change costs, never results.
-SKETCH_BITS = 20
+#: Numbers of shared prefix shingles that a document may ask for.
+MATCHES = np.array([1, 2, 3, 4, 6, 8, 12, 16])
+#: Slots of the count sketch: 16 MB whatever the input. Its errors change costs, never results.
+SKETCH_BITS = 24
 _SEGMENTS = 64
-#: Cost of a candidate pair in postings.
+#: Counts in the sketch go up to this; a document frequency over it is only known to be high.
+_HIGH = 65535
+#: Cost of a candidate pair in postings, and of the share of chance candidates that each further match leaves.
 PAIR_COST = 4.0
+#: Rounds of verification against the most central set of a list.
+STAR_ROUNDS = 2
 #: Postings that a task holds before it sends them.
 FLUSH = 2_000_000
 #: Bytes of text for each owner of postings.
@@ -54,6 +59,11 @@ def required(n):
     return (n * PERCENT + 99) // 100
 
 
+def required_of_shorter(n):
+    """The same for a partner that is no smaller: ceil(n * 2 PERCENT / (100 + PERCENT))."""
+    return -(-n * 2 * PERCENT // (100 + PERCENT))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each row, sorted."""
     for a, b in slices(offsets):
@@ -77,9 +87,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def set_id(shingles: np.ndarray) -> int:
-    """A 62-bit id of a set, as the upper bits of a signed 64-bit integer; its two lower bits are 0."""
+    """A 60-bit id of a set, as the upper bits of a signed 64-bit integer; its four lower bits are 0."""
     mixed = splitmix(np.array([splitmix(shingles ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64))
-    return int((mixed & ~np.uint64(3)).view(np.int64)[0])
+    return int((mixed & ~np.uint64(15)).view(np.int64)[0])
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
@@ -89,76 +99,95 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, n, set, -1, null), then one (null, null, null, segment, counts) for each part of the sketch."""
     names = ["doc_id", "n", "set", "segment", "counts"]
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
     for batch in batches:
         data, offsets = buffers_of(batch.column(1))
         n, ids = [], []
         for s in shingle_sets(data, offsets):
             n.append(len(s))
             ids.append(set_id(s) if len(s) else None)
-            np.add.at(sketch, _slots(s), 1)
+            slots = np.unique(_slots(s))
+            sketch[slots] = np.minimum(sketch[slots], _HIGH - 1) + 1
         rows = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array([-1] * rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
     parts = sketch.reshape(_SEGMENTS, -1)
     none = pa.nulls(_SEGMENTS, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(_SEGMENTS), pa.int32()), packed([p.tobytes() for p in parts])], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(_SEGMENTS), pa.int32()), packed([pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts])], names)
+
+
+def _scaled(counts: np.ndarray) -> np.ndarray:
+    """What exceeds the usual load of a slot, as a byte: 8 steps for each doubling."""
+    usual = counts.mean() + 3 * counts.mean() ** 0.5
+    return np.minimum(np.round(8 * np.log2(1 + np.maximum(counts - usual, 0))), 255).astype(np.uint8)
 
 
 def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     acc: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            acc[s] = acc.get(s, 0) + np.frombuffer(raw, np.uint32).astype(np.float64)
+            part = np.frombuffer(pa.decompress(raw, 2 << SKETCH_BITS >> 6, codec="zstd"), np.uint16)
+            acc[s] = np.minimum(acc.get(s, 0) + part.astype(np.int64), 1 << 40)
     keep = sorted(acc)
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([acc[s].astype(np.float32).tobytes() for s in keep])], ["segment", "counts"])
+    # a byte for each slot: counts over the segment's mean, rarer ones exact, others on a logarithmic scale
+    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([_scaled(acc[s]).tobytes() for s in keep])], ["segment", "counts"])
 
 
 def survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, set) of every document, and the document frequencies' sketch."""
     found = durable(texts.mapInArrow(_survey, "doc_id long, n long, set long, segment int, counts binary"), "sets")
     sums = found.filter("segment >= 0").select("segment", "counts").repartition(_SEGMENTS, "segment")
-    sketch = np.zeros((_SEGMENTS, (1 << SKETCH_BITS) // _SEGMENTS), np.float32)
+    sketch = np.zeros((_SEGMENTS, (1 << SKETCH_BITS) // _SEGMENTS), np.uint8)
     for r in sums.mapInArrow(_sum_sketch, "segment int, counts binary").collect():
-        sketch[r["segment"]] = np.frombuffer(r["counts"], np.float32)
+        sketch[r["segment"]] = np.frombuffer(r["counts"], np.uint8)
     return found.filter("segment = -1").select("doc_id", "n", "set"), sketch.reshape(-1)
 
 
-def adaptive_prefix(shingles: np.ndarray, sketch: np.ndarray, usual: float) -> tuple[np.ndarray, int]:
-    """The prefix of a set in the global order, and how many shared shingles it asks for."""
-    estimate = sketch[_slots(shingles)]
-    order = np.lexsort((shingles, estimate))
-    n, need = len(shingles), required(len(shingles))
-    most = min(MATCHES, need)
-    excess = np.cumsum(np.maximum(estimate[order[: n - need + most]] - usual, 0))
-    sizes = n - need + np.arange(1, most + 1)
-    m = int(np.argmin(sizes + PAIR_COST * excess[sizes - 1] / np.arange(1, most + 1))) + 1
-    return shingles[order[: n - need + m]], m
+def adaptive_prefix(shingles: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+    """The prefix of a set in the global order, how many of it are for partners no smaller, the index in MATCHES of m, and
+    how common the whole set is: the share of its shingles that the sketch knows as frequent, out of 255.
+
+    A longer prefix costs a posting for each shingle, and the candidates of frequent shingles; asking for m matches
+    leaves about 1 / m of them.
+    """
+    excess = sketch[_slots(shingles)]
+    order = np.lexsort((shingles, excess))
+    n, need = len(shingles), int(required(len(shingles)))
+    options = MATCHES[MATCHES <= need]
+    sizes = n - need + options
+    candidates = np.cumsum(np.exp2(excess[order[: sizes[-1]]] / 8.0) - 1)
+    k = int(np.argmin(sizes + PAIR_COST * candidates[sizes - 1] / options))
+    return shingles[order[: sizes[k]]], n - int(required_of_shorter(n)) + int(options[k]), k, int(255 * np.count_nonzero(excess) / n)
 
 
 def prefix_postings(texts: DataFrame, sketch: np.ndarray, owners: int) -> DataFrame:
-    """(owner, shingle, class) packed by owner: the class is the set's id with m - 1 in its lower bits."""
+    """(shingle, class, short, common) of shingles that two sets have: the class is the set's id with the index of m in bits 1 to 3.
+
+    A posting is short if it belongs to the prefix that finds partners no smaller than its set; only lists with a
+    short posting can give pairs.
+    """
     spark = texts.sparkSession
-    mean = float(sketch.mean())
-    shipped = spark.sparkContext.broadcast((sketch, mean + 4 * mean**0.5 + 1))
+    shipped = spark.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, usual = shipped.value
+        counts = shipped.value
         seen: set[int] = set()
         tokens: list[np.ndarray] = []
-        classes: list[int] = []
+        classes: list[np.ndarray] = []
+        common: list[int] = []
         held = 0
 
         def send() -> pa.RecordBatch:
             t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            c = np.repeat(np.array(classes, np.int64), [len(x) for x in tokens])
+            c = np.concatenate(classes) if classes else np.zeros(0, np.int64)
+            f = np.repeat(np.array(common, np.uint8), [len(x) for x in classes])
             owner = (t % np.uint64(owners)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-            t, c = (t >> np.uint64(32)).astype(np.uint32)[order], c[order]
+            t, c, f = (t >> np.uint64(32)).astype(np.uint32)[order], c[order], f[order]
             keep = [o for o in range(owners) if cuts[o] < cuts[o + 1]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(keep, pa.int32()), packed([t[cuts[o] : cuts[o + 1]].tobytes() for o in keep]), packed([c[cuts[o] : cuts[o + 1]].tobytes() for o in keep])],
-                ["owner", "shingles", "classes"],
+                [pa.array(keep, pa.int32()), packed([t[cuts[o] : cuts[o + 1]].tobytes() for o in keep]), packed([c[cuts[o] : cuts[o + 1]].tobytes() for o in keep]), packed([f[cuts[o] : cuts[o + 1]].tobytes() for o in keep])],
+                ["owner", "shingles", "classes", "common"],
             )
 
         for batch in batches:
@@ -166,13 +195,14 @@ def prefix_postings(texts: DataFrame, sketch: np.ndarray, owners: int) -> DataFr
             for s in shingle_sets(data, offsets):
                 if len(s) and (key := set_id(s)) not in seen:
                     seen.add(key)
-                    prefix, m = adaptive_prefix(s, counts, usual)
+                    prefix, short, m, share = adaptive_prefix(s, counts)
                     tokens.append(prefix)
-                    classes.append(key | (m - 1))
+                    common.append(share)
+                    classes.append(np.int64(key | m << 1) + (np.arange(len(prefix)) < short))
                     held += len(prefix)
             if held >= FLUSH:
                 yield send()
-                tokens, classes, held = [], [], 0
+                tokens, classes, common, held = [], [], [], 0
         yield send()
 
     def shared(group: pa.Table) -> pa.Table:
@@ -180,23 +210,25 @@ def prefix_postings(texts: DataFrame, sketch: np.ndarray, owners: int) -> DataFr
         owner = group["owner"][0].as_py()
         t = np.concatenate([np.frombuffer(x, np.uint32) for x in group["shingles"].to_pylist()])
         c = np.concatenate([np.frombuffer(x, np.int64) for x in group["classes"].to_pylist()])
+        f = np.concatenate([np.frombuffer(x, np.uint8) for x in group["common"].to_pylist()])
         order = np.lexsort((c, t))
-        t, c = t[order], c[order]
+        t, c, f = t[order], c[order], f[order]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-        t, c = t[new], c[new]
+        t, c, f = t[new], c[new], f[new]
+        short = (c & 1).astype(bool)
         _, run, size = np.unique(t, return_inverse=True, return_counts=True)
-        keep = size[run] > 1
-        return pa.Table.from_arrays([pa.array((t[keep].astype(np.int64) << 24) | owner, pa.int64()), pa.array(c[keep], pa.int64())], ["shingle", "class"])
+        keep = (size[run] > 1) & (np.bincount(run, weights=short)[run] > 0)
+        return pa.Table.from_arrays([pa.array((t[keep].astype(np.int64) << 24) | owner, pa.int64()), pa.array(c[keep] & ~np.int64(1), pa.int64()), pa.array(short[keep]), pa.array(f[keep].astype(np.int32))], ["shingle", "class", "short", "common"])
 
-    sent = texts.mapInArrow(run, "owner int, shingles binary, classes binary")
-    return sent.groupBy("owner").applyInArrow(shared, "shingle long, class long")
+    sent = texts.mapInArrow(run, "owner int, shingles binary, classes binary, common binary")
+    return sent.groupBy("owner").applyInArrow(shared, "shingle long, class long, short boolean, common int")
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the similarity."""
     spark = texts.sparkSession
-    members = pairs.select(F.explode(F.array("a", "b")).alias("class")).select((F.shiftright("class", 2)).alias("key")).distinct()
+    members = pairs.select(F.explode(F.array("a", "b")).alias("class")).select((F.shiftright("class", 4)).alias("key")).distinct()
     shipped = spark.sparkContext.broadcast(key_bitmap(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +237,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             data, offsets = buffers_of(batch.column(1))
             keys, sets = [], []
             for s in shingle_sets(data, offsets):
-                if len(s) and (key := set_id(s) >> 2) not in seen and in_bitmap(shipped.value, np.array([key]))[0]:
+                if len(s) and (key := set_id(s) >> 4) not in seen and in_bitmap(shipped.value, np.array([key]))[0]:
                     seen.add(key)
                     keys.append(key)
                     sets.append(s.tobytes())
@@ -221,38 +253,58 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = durable(texts.mapInArrow(run, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes")), "hashes")
-    half = pairs.withColumn("key", F.shiftright("b", 2)).join(sets.withColumnRenamed("hashes", "y"), "key").drop("key")
-    whole = half.withColumn("key", F.shiftright("a", 2)).join(sets.withColumnRenamed("hashes", "x"), "key")
+    half = pairs.withColumn("key", F.shiftright("b", 4)).join(sets.withColumnRenamed("hashes", "y"), "key").drop("key")
+    whole = half.withColumn("key", F.shiftright("a", 4)).join(sets.withColumnRenamed("hashes", "x"), "key")
     return durable(whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
 def links(texts: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
     """(a, b): links between classes that give the components of all links."""
     owners = max(64, total_bytes(texts, F.col("text")) // OWNER_BYTES)
-    postings = durable(prefix_postings(texts, sketch, int(owners)), "postings")
-    asked = lambda c: F.col(c).bitwiseAND(F.lit(3)) + 1
-    sizes = classes.select(F.col("set"), F.col("n"))
-
-    def with_sizes(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity."""
-        base = lambda c: F.shiftleft(F.shiftright(c, 2), 2)
-        out = pairs.withColumn("set", base("a")).join(sizes, "set").withColumnRenamed("n", "na").drop("set")
-        out = out.withColumn("set", base("b")).join(sizes, "set").withColumnRenamed("n", "nb").drop("set")
-        return out.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
-
-    enough = F.col("shared") >= F.least(asked("a"), asked("b"))
-    first = postings.groupBy("shingle").agg(F.min("class").alias("a"))
-    stars = postings.join(first, "shingle").filter("a <> class").groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("shared"))
-    stars = durable(with_sizes(stars.filter(enough)), "stars")
-    linked = verified(texts, stars)
-    groups = components(linked)
-    labelled = postings.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    left = durable(labelled.join(mixed, "shingle"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")))
-    pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("shared")).filter(enough).select("a", "b")
-    pairs = durable(with_sizes(pairs).join(stars, ["a", "b"], "left_anti"), "pairs")
+    found = prefix_postings(texts, sketch, int(owners)).withColumn("set", F.shiftleft(F.shiftright("class", 4), 4))
+    postings = durable(found.join(classes.select("set", "n"), "set").drop("set"), "postings")
+    matches = F.array(*[F.lit(int(m)) for m in MATCHES])
+    asked = lambda c: F.element_at(matches, (F.shiftright(c, 1).bitwiseAND(F.lit(7)) + 1).cast("int"))
+    fits = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
+
+    def still_apart(groups: DataFrame | None) -> DataFrame:
+        """Postings, with components, of the shingles whose sets are in two components or more."""
+        if groups is None:
+            return postings.withColumn("component", F.col("class"))
+        named = postings.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
+        return durable(named.join(mixed, "shingle"), "mixed")
+
+    left, linked, tried = still_apart(None), None, None
+    for _ in range(STAR_ROUNDS):
+        # a list's most central set, the one with the fewest shingles of its own, against each set of another component
+        first = left.groupBy("shingle").agg(F.max_by(F.struct("class", "component", "n"), F.struct("common", "class")).alias("c"))
+        stars = left.join(first, "shingle").filter(F.expr("component <> c.component") & fits("n", "c.n"))
+        # each set goes to the one central set that it shares most shingles with
+        shared = stars.groupBy("class", F.col("c.class").alias("centre")).agg(F.count("*").alias("shared"))
+        best = shared.groupBy("class").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"), F.max("shared").alias("shared"))
+        best = best.filter(F.col("shared") >= F.least(asked("class"), asked("centre"), F.lit(2)))
+        stars = best.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+        stars = durable(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        good = verified(texts, stars)
+        linked = good if linked is None else linked.unionByName(good)
+        tried = stars if tried is None else tried.unionByName(stars)
+        if not good.take(1):
+            break
+        left = still_apart(components(linked))
+    # the smaller set's short prefix against the larger one's: with sizes known, the overlap that a link needs raises the
+    # number of shared shingles over both sets' m
+    x, y = left.filter("short").alias("x"), left.alias("y")
+    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+    smaller = F.expr("x.n < y.n OR (x.n = y.n AND x.class < y.class)")
+    pairs = x.join(y, apart & smaller & fits("x.n", "y.n"))
+    pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"))
+    overlap = F.expr(f"CAST(ceil({PERCENT} * (na + nb) / {100 + PERCENT}D) AS BIGINT)")
+    of_small = F.expr(f"CAST(ceil(na * {2 * PERCENT} / {100 + PERCENT}D) AS BIGINT)")
+    of_large = F.expr(f"CAST(ceil(nb * {PERCENT} / 100D) AS BIGINT)")
+    pairs = pairs.filter(F.col("shared") >= F.least(asked("a") + overlap - of_small, asked("b") + overlap - of_large))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     return linked.unionByName(verified(texts, pairs)) if pairs.take(1) else linked
 
 
@@ -264,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows, sketch = survey(texts)
     full = rows.filter("set IS NOT NULL")
     classes = durable(full.groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n")), "classes")
-    base = F.shiftleft(F.shiftright("node", 2), 2)
+    base = F.shiftleft(F.shiftright("node", 4), 4)
     groups = components(links(texts, classes, sketch)).select(base.alias("set"), "component")
     grouped = classes.join(groups, "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
