@@ -183,7 +183,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("text", text_of()).withColumn("row", F.xxhash64("doc_id", "text"))
     with_spans = base_spans(rows)
     spans = durable(with_spans.filter(F.size("base") > 0).select("row", "text", "base").dropDuplicates(["row"]), "spans")
-    found, words = disclosing_terms(docs, spans)
+    found, words = disclosing_terms(docs.select("text"), spans)
     if not found.take(1):
         return with_spans.withColumn("terms", F.slice("base", 1, 0))
     hits = words.join(found, ["entity", "term"]).select("row", "first", "last", "term").distinct()
@@ -206,7 +206,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Where spans overlap, the one that starts first is replaced and the others inside it go with it.
     """
-    found = find(docs)
+    # the row's columns travel as one, so that none of them can clash with a working column
+    found = find(docs.select(F.struct(*docs.columns).alias("rest"), "doc_id", "text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -218,6 +219,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
     every = F.array_sort(F.concat("base", "terms"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     text = F.when(F.size(every) > 0, F.aggregate(every, start, step, rest)).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns]
     out = found.select(*columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
