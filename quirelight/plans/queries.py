@@ -170,7 +170,7 @@ def sequence_deltas(spark, sf_dir):
     truth = F.array_sort(F.transform("blocks", lambda b: F.struct(b["x0"], b["y0"], b["text"].alias("text"))))
     join = lambda c: tx.normalise(layout.page_text(c))
     rows = rows.select("doc_id", "page", join(truth).alias("truth"), join(F.col("blocks")).alias("raw"), join(F.col("ordered")).alias("col"))
-    rows = rows.withColumn("raw", metrics.sequence_ratio("truth", "raw")).withColumn("col", metrics.sequence_ratio("truth", "col"))
+    rows = rows.withColumn("raw", metrics.sequence_ratio(F.col("truth"), F.col("raw"))).withColumn("col", metrics.sequence_ratio(F.col("truth"), F.col("col")))
     return rows.select("doc_id", "page", r6(F.col("raw")).alias("raw"), r6(F.col("col")).alias("col"), metrics.change(F.col("col") - F.col("raw")).alias("flag"))
 
 
