@@ -41,8 +41,6 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 NO_SPANS = "CAST(array() AS array<struct<kind:string,first:int,last:int,value:string>>)"
-#: Rows of disclosing terms that may be broadcast; more are joined with a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def digits(value: Column) -> Column:
@@ -165,12 +163,10 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, Data
     most = F.col("both") * F.pow(F.lit(float(total)) / F.col("of_entity"), F.lit(1 - DISCLOSURE))
     rare = together.join(entities, "entity").join(beside, "term").filter(F.col("beside") <= most * 1.000001)
     rare = durable(rare.select("entity", "term", "both", "of_entity"), "rare")
-    terms = rare.select("term").distinct()
-    if terms.count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
-    # document frequency over the whole corpus; partial counts go ahead of the shuffle
+    # document frequency over the whole corpus, counted before the join: the rows are the corpus's words whatever the pairs are,
+    # and partial counts go ahead of the shuffle
     spread = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("term"))
-    df = spread.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
+    df = spread.groupBy("term").agg(F.count("*").alias("of_term"))
     joined = rare.join(df, "term")
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("of_term").cast("double") * F.col("of_entity")))
     information = F.log2(F.lit(float(total)) / F.col("of_entity"))
