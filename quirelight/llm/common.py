@@ -54,10 +54,20 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Intermediate tables of this process lie in one folder below the shared one.
+_RUN = uuid.uuid4().hex
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; for when its results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/quirelight/{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/quirelight/{uuid.uuid4().hex}/{name}"
+    path = f"{scratch(spark)}/quirelight/{_RUN}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -390,3 +390,13 @@ def test_quality_scores_cover_whole_texts():
     for s in quality.chunk_starts(5000):
         covered[s : s + quality.CHUNK] = True
     assert covered.all()
+
+
+def test_release_deletes_the_intermediate_tables(spark):
+    from quirelight.llm import common
+
+    kept = common.durable(spark.range(5), "kept")
+    assert kept.count() == 5
+    common.release(spark)
+    with pytest.raises(Exception):
+        common.durable(spark.range(5), "more").unionByName(kept).collect()
