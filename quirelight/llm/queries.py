@@ -72,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_vector_join": vector_join.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }

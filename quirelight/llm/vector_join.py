@@ -221,3 +221,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rest = first.filter("component_id IS NULL").select("vec_id", "embedding").join(named.filter(~hot).drop("rows"), "embedding", "left")
     out = done.unionByName(rest.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), d AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT m.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c ON c.x = m.vec_id LEFT JOIN d ON d.x = m.vec_id
+"""
