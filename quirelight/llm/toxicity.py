@@ -68,7 +68,7 @@ class Ftrl:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
 
     def learn(self, at: np.ndarray, label: int) -> float:
-        at = np.append(at, len(self.z) - 1)
+        at = np.append(at.astype(np.int64), len(self.z) - 1)
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
         g = p - label
@@ -86,9 +86,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # the keys are at most sample_rows rows
     sample = texts.join(F.broadcast(keys), "doc_id").select("label", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = sample.select("label", "text").mapInArrow(_features, "label int, slots binary").collect()
-    examples = sorted((r["slots"], r["label"]) for r in rows)
-    examples = [(np.frombuffer(s, "<u4").astype(np.int64), y) for s, y in examples]
+    # the collected bytes are the examples' only copy: four bytes for each distinct slot of a sampled text
+    examples = sorted((bytes(r["slots"]), r["label"]) for r in sample.select("label", "text").mapInArrow(_features, "label int, slots binary").collect())
+    examples = [(np.frombuffer(s, "<u4"), y) for s, y in examples]
     model = Ftrl(1 << HASH_BITS)
     for epoch in range(EPOCHS if examples else 0):
         for i in np.random.default_rng(epoch).permutation(len(examples)):
