@@ -26,7 +26,7 @@ def duck():
 
 
 def rows(frame: pd.DataFrame) -> list:
-    plain = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) else str(v)
+    plain = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) else str(v)
     return sorted((tuple(plain(getattr(v, "item", lambda v=v: v)()) for v in r) for r in frame[sorted(frame)].itertuples(index=False)), key=repr)
 
 
