@@ -589,7 +589,7 @@ def multisets(spark, sf_dir):
     return n.select("k", F.inline(ops)).filter("n > 0").select("op", "k", "n")
 
 
-@query("""WITH r AS (SELECT user_id, epoch(ts)::BIGINT AS tm, 'fp' || user_id % 3 AS fp FROM events), n AS (SELECT max(tm) AS now FROM r),
+@query("""WITH r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS tm, 'fp' || user_id % 3 AS fp FROM events), n AS (SELECT max(tm) AS now FROM r),
 f AS (SELECT user_id, coalesce(min(CASE WHEN fp = '' OR fp = 'fp1' THEN tm END), max(now)) AS started_at FROM r, n GROUP BY ALL),
 d AS (SELECT user_id, started_at, greatest(now - started_at, 0) // 86400 AS used, user_id % 11 = 0 AS lic FROM f, n)
 SELECT user_id, started_at, CASE WHEN lic THEN 'licensed' WHEN used >= 7 THEN 'expired' ELSE 'trialing' END AS status, CAST(CASE WHEN NOT lic AND used < 7 THEN 7 - used END AS INTEGER) AS days_left FROM d""")
