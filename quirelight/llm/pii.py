@@ -1,34 +1,31 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal it.
 
 Everything is a DataFrame expression. Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.
-The method then asks which other terms disclose a protected entity (a base span's text). A term's contexts are the
-CONTEXT words on either side of a span; equal contexts count once, so copies of a text prove nothing. For a term t and an
-entity e, the corpus gives
+The method then asks which other terms disclose a protected entity (a base span's text). Terms are the words of a text
+outside its base spans, lower-cased and without punctuation at their ends. For a term t and an entity e, the corpus gives
 
     PMI(t; e) = log2(p(t, e) / (p(t) p(e))),   information of e = -log2 p(e),
 
 and t discloses e where PMI(t; e) >= DISCLOSURE * information of e, that is, where seeing t all but tells e. p counts
-documents, of the whole corpus for t, and t must stand by e in SUPPORT different contexts. Disclosing terms become spans of
-kind "term", wherever they stand in a context of that entity; sanitise() generalises base spans to their kind and removes
-disclosing terms.
+documents of the whole corpus; t and e stand together where one document holds both, at any distance, and they must do so
+in SUPPORT different texts, so copies of a text prove nothing. Disclosing terms become spans of kind "term" at all their
+places in every document that holds the entity; sanitise() generalises base spans to their kind and removes disclosing terms.
 
-Defined results: a null text counts as empty and has no spans; repeated rows give repeated rows; one context that
-copies repeat counts once; very long texts are matched in linear time (possessive patterns, no retry inside a run); an
+Defined results: a null text counts as empty and has no spans; repeated rows give repeated rows; a text that
+copies repeat supports a pair once; very long texts are matched in linear time (possessive patterns, no retry inside a run); an
 empty table gives no rows; columns other than doc_id and text are carried by sanitise() alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelight.llm.common import durable, text_of
 
-#: Words on either side of a span that are its context.
-CONTEXT = 5
 #: Share of an entity's information that a term must give away.
 DISCLOSURE = 0.8
-#: Different contexts in which a term must stand by an entity.
+#: Different texts in which a term must stand with an entity.
 SUPPORT = 3
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that no position inside a run is tried again: the same matches in linear time.
@@ -111,82 +108,93 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
+#: Punctuation at the ends of a word; the look-behind keeps runs inside of it from being tried again.
+ENDS = r"^[\p{P}\p{S}]++|(?<![\p{P}\p{S}])[\p{P}\p{S}]++$"
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased words without punctuation at their ends; empty ones are left in place."""
-    return F.transform(F.split(F.lower(text), GAP), lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
+def outside(text: Column, base: Column) -> Column:
+    """The text with spaces in place of its base spans, at the same places."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        at = F.greatest(acc["at"], s["first"])
+        end = F.greatest(at, s["last"])
+        parts = F.array(F.substring(text, acc["at"] + 1, at - acc["at"]), F.repeat(F.lit(" "), end - at))
+        return F.struct(end.alias("at"), F.concat(acc["parts"], parts).alias("parts"))
+
+    rest = lambda acc: F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, F.array_join(F.aggregate(base, start, step, rest), "")).otherwise(text)
 
 
-def context_words(text: Column, first: Column, last: Column) -> Column:
-    """Words within CONTEXT words of a span, with their places: structs of term, first, last."""
-    width = 40 * CONTEXT
-    left = F.greatest(first - width, F.lit(0))
-    before, after = F.substring(text, left + 1, first - left), F.substring(text, last + 1, F.lit(width))
+def term_of(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, ENDS, ""))
 
-    def located(part: Column, origin: Column) -> Column:
-        hits, gaps = F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), F.split(part, WORD, -1)
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("word")))
-        start = F.struct(origin.cast("int").alias("at"), F.expr("CAST(array() AS array<struct<term:string,first:int,last:int>>)").alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            a = acc["at"] + x["gap"]
-            core = F.regexp_extract(x["word"], r"^[\p{P}\p{S}]*+(.*?)[\p{P}\p{S}]*+$", 1)
-            lead = F.length(F.regexp_extract(x["word"], r"^[\p{P}\p{S}]*+", 0))
-            word = F.struct(F.lower(core).alias("term"), (a + lead).alias("first"), (a + lead + F.length(core)).alias("last"))
-            return F.struct((a + F.length(x["word"])).alias("at"), F.concat(acc["out"], F.array(word)).alias("out"))
+def terms_of(text: Column) -> Column:
+    """The different terms of a text; words of one character are none."""
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    return F.filter(F.array_distinct(F.transform(words, term_of)), lambda t: F.length(t) > 1)
 
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
-    near = F.concat(F.slice(F.reverse(located(before, left)), 1, CONTEXT), F.slice(located(after, last), 1, CONTEXT))
-    return F.filter(near, lambda w: F.length(w["term"]) > 1)
+def places(texts: DataFrame) -> DataFrame:
+    """(row, term, first, last) for every word of `free`; places are running sums, in linear time for long texts."""
+    hits, gaps = F.regexp_extract_all("free", F.lit(WORD), F.lit(0)), F.split("free", WORD, -1)
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("word")))
+    words = texts.select("row", F.posexplode(pairs).alias("i", "w")).select("row", "i", "w.*")
+    end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    lead = F.length(F.regexp_extract("word", r"^[\p{P}\p{S}]*+", 0))
+    words = words.withColumn("first", (end - F.length("word") + lead).cast("int"))
+    return words.select("row", term_of(F.col("word")).alias("term"), "first", (F.col("first") + F.length(F.regexp_replace("word", ENDS, ""))).alias("last"))
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, term) pairs that exceed the threshold, and all context words (row, entity, term, first, last)."""
-    one = spans.filter(F.size("base") > 0).select("row", "text", F.explode("base").alias("s"))
-    near = one.select("row", F.lower("s.value").alias("entity"), context_words(F.col("text"), F.col("s.first"), F.col("s.last")).alias("near"))
-    near = near.withColumn("context", F.xxhash64(F.array_join(F.array_sort(F.transform("near", lambda w: w["term"])), " ")))
-    words = durable(near.select("row", "entity", "context", F.explode("near").alias("w")).select("row", "entity", "context", "w.*"), "contexts")
-    # equal contexts count once, and only pairs with support go on
-    pairs = words.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
-    pairs = durable(pairs, "pairs")
-    if not pairs.take(1):
-        return pairs.select("entity", "term"), words
+def disclosing_terms(docs: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(row, term): the terms that exceed the threshold for an entity of the text; None where no entity has support.
+
+    What is dropped before pairs are made cannot pass: a disclosing pair has df(t) <= both * (N / of_entity) ** (1 - DISCLOSURE),
+    and `both` is at most the documents of e and at most the documents that hold t and any entity with support.
+    """
+    every = texts.select("row", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    entities = every.groupBy("entity").agg(F.sum("copies").alias("of_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
+    entities = durable(entities.select("entity", "of_entity"), "entities")
+    low, high = entities.agg(F.min("of_entity"), F.max("of_entity")).first()
+    if low is None:
+        return None
     total = docs.count()
-    together = words.join(pairs, ["entity", "term"]).select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    entities = words.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    # df(t) of a disclosing pair is at most both * (N / of_entity) ** (1 - DISCLOSURE), and no less than the rows with t in
-    # a context: common words fall out here, exactly, before the corpus is counted
-    beside = words.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("beside"))
-    most = F.col("both") * F.pow(F.lit(float(total)) / F.col("of_entity"), F.lit(1 - DISCLOSURE))
-    rare = together.join(entities, "entity").join(beside, "term").filter(F.col("beside") <= most * 1.000001)
-    rare = durable(rare.select("entity", "term", "both", "of_entity"), "rare")
-    # document frequency over the whole corpus, counted before the join: the rows are the corpus's words whatever the pairs are,
-    # and partial counts go ahead of the shuffle
-    spread = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("term"))
+    members = durable(every.drop("copies").join(entities, "entity"), "members")
+    words = texts.join(members.select("row").distinct(), "row").select("row", "copies", F.explode(terms_of(outside(F.col("text"), F.col("base")))).alias("term"))
+    words = durable(words, "words")
+    beside = words.groupBy("term").agg(F.sum("copies").alias("beside"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
+    # document frequency over the whole corpus, counted before any join: partial counts go ahead of the shuffle
+    spread = base_spans(docs).select(F.explode(terms_of(outside(text_of(), F.col("base")))).alias("term"))
     df = spread.groupBy("term").agg(F.count("*").alias("of_term"))
-    joined = rare.join(df, "term")
+    ratio = lambda n: F.pow(F.lit(float(total)) / n, F.lit(1 - DISCLOSURE)) * 1.000001
+    most = F.least(F.col("beside") * ratio(F.lit(low)), F.lit(high) * ratio(F.lit(high)))
+    vocabulary = durable(beside.join(df, "term").filter(F.col("of_term") <= most).select("term", "beside", "of_term"), "vocabulary")
+    fits = F.col("of_term") <= F.least("beside", "of_entity") * ratio(F.col("of_entity"))
+    pairs = words.join(vocabulary, "term").join(members, "row").filter(fits)
+    pairs = durable(pairs.select("row", "copies", "entity", "of_entity", "term", "of_term"), "pairs")
+    counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("support"), F.first("of_entity").alias("of_entity"), F.first("of_term").alias("of_term"))
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("of_term").cast("double") * F.col("of_entity")))
     information = F.log2(F.lit(float(total)) / F.col("of_entity"))
-    return durable(joined.filter((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term"), "disclosing"), words
+    found = counted.filter((F.col("support") >= SUPPORT) & (information > 0) & (pmi >= DISCLOSURE * information))
+    found = durable(found.select("entity", "term"), "disclosing")
+    return durable(pairs.select("row", "entity", "term").join(found, ["entity", "term"]).select("row", "term").distinct(), "hits")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """The table with `row`, `base` and `terms` (the method's spans), for every row."""
-    # rows that repeat an id and a text have the same spans and may share a key
-    rows = docs.withColumn("text", text_of()).withColumn("row", F.xxhash64("doc_id", "text"))
+    # rows that repeat a text have the same spans and share a key
+    rows = docs.withColumn("text", text_of()).withColumn("row", F.xxhash64("text"))
     with_spans = base_spans(rows)
-    spans = durable(with_spans.filter(F.size("base") > 0).select("row", "text", "base").dropDuplicates(["row"]), "spans")
-    found, words = disclosing_terms(docs.select("text"), spans)
-    if not found.take(1):
+    texts = with_spans.filter(F.size("base") > 0).groupBy("row").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("copies"))
+    texts = durable(texts, "texts")
+    hits = disclosing_terms(docs.select("text"), texts)
+    if hits is None or not hits.take(1):
         return with_spans.withColumn("terms", F.slice("base", 1, 0))
-    hits = words.join(found, ["entity", "term"]).select("row", "first", "last", "term").distinct()
+    free = texts.join(hits.select("row").distinct(), "row").select("row", outside(F.col("text"), F.col("base")).alias("free"))
     hit = F.struct("first", F.lit(len(KINDS)).alias("order"), "last", F.lit("term").alias("kind"), F.col("term").alias("value"))
-    # a row's hits are words beside its own spans; the row's text already holds them
-    terms = hits.groupBy("row").agg(F.array_sort(F.collect_list(hit)).alias("terms"))
-    return with_spans.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.slice("base", 1, 0)))
+    terms = places(free).join(hits, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(hit)).alias("terms"))
+    return with_spans.join(durable(terms, "terms"), "row", "left").withColumn("terms", F.coalesce("terms", F.slice("base", 1, 0)))
 
 
 def pii(docs: DataFrame) -> DataFrame:

@@ -145,6 +145,49 @@ def test_pii_terms_that_give_an_entity_away_are_removed(spark):
     assert got[100] == "the plain text 0 by nobody" and "zorkon" in got[1000]
 
 
+def corpus(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"the plain text {i} by nobody") for i in range(200)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_pii_terms_are_counted_and_removed_in_the_whole_document(spark):
+    gap = lambda i: " ".join(f"gap{i}x{k}" for k in range(9))
+    texts = [f"Zorblat! {gap(i)} bob@corp.example.com {gap(i + 50)} (zorblat) the far end{i}" for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(corpus(spark, texts)).collect()}
+    for i in range(6):
+        assert got[i] == f"! {gap(i)} [EMAIL] {gap(i + 50)} () the  end{i}"
+    assert got[1000] == "the plain text 0 by nobody"
+
+
+def test_pii_terms_equal_brute_force(spark):
+    r = random.Random(9)
+    mails = [f"m{k}@x{k}.org" for k in range(5)]
+    texts = []
+    for _ in range(80):
+        words = [f"w{r.randrange(60)}" for _ in range(r.randint(1, 25))]
+        for k in r.sample(range(5), r.choice([0, 0, 1, 2])):
+            words[r.randrange(len(words))] = r.choice(["<{}>", "{},", "n:{}"]).format(mails[k])
+            words.insert(r.randrange(len(words)), r.choice([f"Name{k}", f"“name{k}”,", f"other{k}"]))
+        texts += [" ".join(words)] * r.choice([1, 1, 1, 3])
+    held = [set(re.findall(r"m\d@x\d\.org", t)) for t in texts]
+    said = [{w for x in re.sub(r"m\d@x\d\.org", " ", t).lower().split() if len(w := x.strip("<>,:“”")) > 1} for t in texts]
+    n, df, of = len(texts) + 200, Counter(w for s in said for w in s), Counter(e for s in held for e in s)
+    df.update({w: 200 for w in ("the", "plain", "text", "by", "nobody")})
+    both, support = Counter(), defaultdict(set)
+    for t, s, h in zip(texts, said, held, strict=True):
+        for p in ((w, e) for w in s for e in h):
+            both[p] += 1
+            support[p].add(t)
+    tells = {(w, e) for (w, e), k in both.items() if len(support[w, e]) >= pii.SUPPORT and math.log2(k * n / (df[w] * of[e])) >= pii.DISCLOSURE * math.log2(n / of[e])}
+    assert len(tells) > 5
+    got = {x["doc_id"]: x["spans"] for x in pii.pii(corpus(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        plain = re.sub(r"m\d@x\d\.org", lambda m: " " * len(m[0]), t)
+        terms = {w for w, e in tells if e in held[i]}
+        expected = [(m.start(), m.end()) for m in re.finditer(r"[^\s<>,:“”]+", plain) if m[0].lower() in terms]
+        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("term")] == expected
+
+
 def test_golomb_codes_come_back():
     r = np.random.default_rng(0)
     for n, width in ((0, 20), (1, 20), (500, 40), (3000, 12)):
