@@ -188,6 +188,13 @@ def test_pii_terms_equal_brute_force(spark):
         assert [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("term")] == expected
 
 
+def test_pii_long_words_beside_a_span_cut_nothing_off(spark):
+    token = "https://" + "k9" * 150
+    texts = [f"a{i} b{i} Zorblat {token} joe@x.org c{i} d{i}" for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(corpus(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == [f"a{i} b{i}   [EMAIL] c{i} d{i}" for i in range(6)]
+
+
 def test_golomb_codes_come_back():
     r = np.random.default_rng(0)
     for n, width in ((0, 20), (1, 20), (500, 40), (3000, 12)):
