@@ -25,8 +25,8 @@ from quirelight.llm.common import durable, text_of
 
 #: Share of an entity's information that a term must give away.
 DISCLOSURE = 0.8
-#: Different texts in which a term must stand with an entity.
-SUPPORT = 3
+#: Different texts in which a term must stand with an entity: one text cannot tell a name from its other words.
+SUPPORT = 2
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that no position inside a run is tried again: the same matches in linear time.
 PATTERNS = {

@@ -195,6 +195,14 @@ def test_pii_long_words_beside_a_span_cut_nothing_off(spark):
     assert [got[i] for i in range(6)] == [f"a{i} b{i}   [EMAIL] c{i} d{i}" for i in range(6)]
 
 
+def test_pii_support_is_of_texts_not_of_contexts(spark):
+    line = "Regards Jane Doe from the text jane@corp.com by the plain text"
+    texts = [f"u{i} v{i} {line}" for i in range(6)] + [f"y{i} Zorkon rare{i} joe@x.org" for i in range(2)] + ["one Quux ann@y.org"] * 3
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(corpus(spark, texts)).collect()}
+    assert got[0] == "u0 v0     the text [EMAIL] by the plain text"
+    assert got[6] == "y0  rare0 [EMAIL]" and got[8] == "one Quux [EMAIL]"
+
+
 def test_golomb_codes_come_back():
     r = np.random.default_rng(0)
     for n, width in ((0, 20), (1, 20), (500, 40), (3000, 12)):
