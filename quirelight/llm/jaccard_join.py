@@ -323,9 +323,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = durable(grouped.join(least, "component").select("set", "rows", "component_id"), "named")
     hot = F.col("rows") >= max(2, int(full.count() * HOT_SHARE))
     # at most 1 / HOT_SHARE classes
-    step = full.join(F.broadcast(named.filter(hot).select("set", "component_id")), "set", "left")
-    done = step.filter("component_id IS NOT NULL")
-    rest = step.filter("component_id IS NULL").select("doc_id", "n", "set").join(named.filter(~hot).select("set", "component_id"), "set")
+    step = full.join(F.broadcast(named.filter(hot).select("set", "component_id", F.lit(True).alias("hot"))), "set", "left")
+    # a hot class of null ids has no component_id
+    done = step.filter("hot")
+    rest = step.filter("hot IS NULL").select("doc_id", "n", "set").join(named.filter(~hot).select("set", "component_id"), "set")
     alone = rows.filter("set IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = done.select("doc_id", "n", "component_id").unionByName(rest.select("doc_id", "n", "component_id")).unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

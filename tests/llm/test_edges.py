@@ -76,6 +76,12 @@ def test_exact_dedup_edges(spark):
     assert got[2]["keep_id"] == got[3]["keep_id"] == 2 and got[4]["keep_id"] == 4 and got[5]["group_size"] == 2 and got[5]["kept"] is True
 
 
+def test_jaccard_keeps_large_classes_of_null_ids(spark):
+    rows = [(None, "same words without any id")] * 3 + [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "alone")]
+    got = [tuple(r) for r in jaccard_join.near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 1, None)] * 4 + [(1, 3, 1), (2, 3, 1)], key=repr)
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup at all"), (4, "u", "<p" * 50), (5, "u", "<div>" * 3000 + "deep words here" + "</div>" * 3000), (5, "u", "<article><p>" + "word " * 50000), (6, "u", '<a href="unclosed'), (7, "u", "<script>x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
