@@ -13,7 +13,9 @@ linear in its rows. The axes come from a bounded sample (SAMPLE_ROWS); they move
 There are at most INTERVALS intervals, so at most INTERVALS boxes of 2 * GRID numbers reach the driver; beyond some
 INTERVALS * 2048 vectors intervals grow and the recursion inside a task has more levels.
 
-Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
+Vectors of each length are joined by themselves, one length after another.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 have no link and are their own component; repeated rows are vectors of their own with equal ids; an empty table gives
 no rows; other columns are ignored.
 """
@@ -130,14 +132,21 @@ def classes_of(vectors: DataFrame, dims: int) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    spark = vectors.sparkSession
-    prepare(spark)
+    prepare(vectors.sparkSession)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    lengths = vectors.filter("embedding IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count()
-    top = lengths.orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dims = int(top[0]["n"]) if top else 1
     # zero has two signs; as parts of a key they are one
     vectors = vectors.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    lengths = sorted(r["n"] for r in vectors.filter(size > 0).select(size.alias("n")).distinct().collect())
+    out = vectors.filter(size <= 0).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for dims in lengths:
+        out = out.unionByName(of_length(vectors.filter(size == dims), dims, cosine))
+    return out
+
+
+def of_length(vectors: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """near_vectors() of vectors that have dims components."""
+    spark = vectors.sparkSession
     classes = classes_of(vectors, dims)
     marked = durable(classes.select("least", "rows", "embedding"), "classes")
     n = marked.count()

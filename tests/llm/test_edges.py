@@ -99,3 +99,9 @@ def test_vector_edges(spark):
     assert got == [(1, 3, 1, True), (2, 3, 1, False), *[(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)], (10, 1, 10, True), (11, 3, 1, False), (11, 3, 1, False), (12, 1, 10, False)]
     assert vector_join.near_vectors(df.limit(0)).collect() == []
     assert [tuple(r)[1:] for r in vector_join.near_vectors(df.filter("vec_id IN (3, 4)")).orderBy("vec_id").collect()] == [(0, 3, True), (0, 4, True)]
+
+
+def test_vectors_of_every_length_link(spark):
+    rows = [(i, [1.0, 0.1 * i]) for i in range(3)] + [(10, [1.0, 0.0, 0.0]), (11, [2.0, 0.0, 0.1]), (12, [0.0, 1.0, 0.0]), (13, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 10: (1, 10, True), 11: (1, 10, False), 12: (0, 12, True), 13: (0, 13, True)}
