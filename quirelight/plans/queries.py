@@ -87,7 +87,7 @@ _PAGE_TRUTH = r"SELECT doc_id, page, regexp_replace(string_agg(text, chr(10) ORD
 @query(f"""{BLOCKS}, {_f1_sql(_PAGE_TRUTH, "doc_id, page", 17)}
 SELECT count(*) AS pages, round(avg(char_f1), 6) AS mean_f1, avg(char_f1) >= 0.95 AS passed FROM f WHERE chars >= 20""")
 def verdict(spark, sf_dir):
-    """Mean F1 over pages that are not near blank, and the gate."""
+    """Mean F1 over pages that are not near blank, and the gate."""
     rows = page_pair(spark, sf_dir).select("doc_id", tx.normalise(F.col("r")).alias("truth"))
     rows = rows.select(F.length("truth").alias("chars"), tx.char_f1(F.col("truth"), bridge.degraded(F.col("truth"), F.col("doc_id"), 17)).alias("char_f1"))
     return metrics.verdict(rows).select("pages", r6(F.col("mean_f1")).alias("mean_f1"), "passed")
@@ -164,7 +164,7 @@ def search_recall(spark, sf_dir):
 
 @query()
 def sequence_deltas(spark, sf_dir):
-    """Order-sensitive similarity of the raw and of the reordered blocks to the reading order, by page."""
+    """Order-sensitive similarity of the raw and of the reordered blocks to the reading order, by page."""
     rows = page_rows(spark, sf_dir).withColumn("gutter", layout.find_gutter(F.col("blocks"))).filter("gutter IS NOT NULL")
     rows = rows.withColumn("ordered", layout.reading_order(F.col("blocks"), F.col("gutter")))
     truth = F.array_sort(F.transform("blocks", lambda b: F.struct(b["x0"], b["y0"], b["text"].alias("text"))))
