@@ -46,9 +46,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the setting is absent."""
+    """The shared folder of spark.checkpoint.dir. Only local mode may go without the setting: a temporary folder serves there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quirelight_")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -195,71 +197,93 @@ def rows_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts) - 1), np.diff(counts))
 
 
-# --- Bitmaps of a fixed size --------------------------------------------------------------------
+# --- Bitmaps sized from a count --------------------------------------------------------------------
 
-#: Bits of a membership bitmap: 2 MB whatever the input; a full bitmap only lets more rows through to the exact step.
-BITMAP_BITS = 1 << 24
 _SEGMENTS = 64
 
 
-def _bitmap_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITMAP_BITS, bool)
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        bits[(splitmix(keys) & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] = True
-    parts = np.packbits(bits).reshape(_SEGMENTS, -1)
-    keep = [i for i in range(_SEGMENTS) if parts[i].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([parts[i].tobytes() for i in keep])], ["segment", "bits"])
+def bitmap_bits(count: int) -> int:
+    """Bits of a membership bitmap for so many keys: some 16 a key, from 2 MB to 256 MB, whatever the input. Beyond
+    10^8 keys it fills up, which lets more rows through to the exact step and changes no result."""
+    return 1 << min(31, max(24, (16 * count).bit_length()))
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return splitmix(keys.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
 
 
 def _bitmap_or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     acc: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            v = np.frombuffer(b, np.uint8)
+            v = np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd"), np.uint8)
             acc[s] = (acc[s] | v) if s in acc else v.copy()
     keep = sorted(acc)
     yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([acc[s].tobytes() for s in keep])], ["segment", "bits"])
 
 
-def key_bitmap(keys: DataFrame) -> np.ndarray:
-    """A boolean array of BITMAP_BITS: which hash slots the single bigint column's values take. 2 MB reach the driver."""
-    parts = keys.mapInArrow(_bitmap_parts, "segment int, bits binary")
-    out = np.zeros((_SEGMENTS, BITMAP_BITS // 8 // _SEGMENTS), np.uint8)
-    for r in parts.repartition(_SEGMENTS, "segment").mapInArrow(_bitmap_or, "segment int, bits binary").collect():
+def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
+    """Packed bits: which hash slots the single bigint column's values take; count is a bound on the different keys."""
+    bits = bitmap_bits(count)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            slot = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(taken, (slot >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (slot & np.uint64(7)).astype(np.uint8))
+        pieces = taken.reshape(_SEGMENTS, -1)
+        keep = [i for i in range(_SEGMENTS) if pieces[i].any()]
+        held = [pieces[i].tobytes() for i in keep]
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in held])], ["segment", "bits"])
+
+    out = np.zeros((_SEGMENTS, bits // 8 // _SEGMENTS), np.uint8)
+    for r in keys.mapInArrow(parts, "segment int, bits binary").repartition(_SEGMENTS, "segment").mapInArrow(_bitmap_or, "segment int, bits binary").collect():
         out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
 def in_bitmap(packed_bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = splitmix(keys.astype(np.int64).view(np.uint64)) & np.uint64(BITMAP_BITS - 1)
+    slot = _slot(keys, 8 * len(packed_bits))
     return (packed_bits[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
 # --- Connected components -----------------------------------------------------------------------
 
+#: Nodes with this share of all edge ends go by broadcast: 64 nodes at most.
+_HOT_NODE = 1 / 64
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def _with_least(edges: DataFrame, ends: int) -> DataFrame:
+    """(a, b, m): edges with the smallest neighbour of a, or a itself; no node's edges meet in one task."""
+    low = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree"))
+    hot = F.col("degree") >= max(2, int(ends * _HOT_NODE))
+    # at most 1 / _HOT_NODE nodes
+    first = edges.join(F.broadcast(low.filter(hot).drop("degree")), "a", "left")
+    rest = first.filter("m IS NULL").select("a", "b").join(low.filter(~hot).drop("degree"), "a")
+    return first.filter("m IS NOT NULL").unionByName(rest)
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b), as alternating
-    large-star and small-star steps; each halves distances, so the rounds grow with the logarithm of a
-    component's size. Every step is written to the shared folder; stars are made with min aggregates, and a
-    node's neighbours never meet in one task beyond Spark's own joins.
+    large-star and small-star steps, written to the shared folder each. The rounds grow with the logarithm of a component's
+    size; where they do not settle, an error is raised.
     """
     edges = durable(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
-    before = None
+    state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for step in range(rounds):
+        if not state[0]:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours of a node move to the smallest in its neighbourhood
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both, 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours move to the smallest of them
-        down = large.filter("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        down = durable(large.filter("a <> b").distinct(), f"down{step}")
+        small = _with_least(down, down.count()).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = durable(small.filter("a <> b").distinct(), f"edges{step}")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -104,8 +104,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     blocks = int(hashes.agg(F.max("block")).first()[0] or 0) + 1
     marked = durable(suspects(hashes, max(64, blocks)), "marked")
     found = marked.filter("suspect")
-    # 2 MB say which doc_ids may be suspects; other rows that pass are groups of one
-    shipped = spark.sparkContext.broadcast(key_bitmap(found.select(F.xxhash64("doc_id").alias("key"))))
+    total = found.count()
+    # some 16 bits a suspect say which doc_ids may be suspects; other rows that pass are groups of one
+    shipped = spark.sparkContext.broadcast(key_bitmap(found.select(F.xxhash64("doc_id").alias("key")), total))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +116,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     possible = texts.select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(only, "doc_id long, text string")
     classes = possible.groupBy(normal.alias("normal")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = durable(classes.filter("group_size > 1").select(F.unhex(F.sha2("normal", 256)).alias("sha"), "keep_id", "group_size"), "classes")
-    total = found.count()
     hot = F.col("group_size") >= max(2, int(total * HOT_SHARE))
     # at most 1 / HOT_SHARE classes
     first = found.join(F.broadcast(classes.filter(hot)), "sha", "left")

@@ -211,13 +211,103 @@ def test_golomb_codes_come_back():
         assert (exact_dedup.golomb_decode(n, k, unary, rest) == v).all()
 
 
-def test_jaccard_join_equals_brute_force(spark):
-    docs = near_texts()
+def brute_groups(docs):
+    """{id: (size of the set, smallest id reachable)} by comparing every pair of different sets."""
     sets = {i: shingles(t) for i, t in docs}
-    links = [(i, j) for i in sets for j in sets if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    kinds = {}
+    for i, s in sets.items():
+        kinds.setdefault(s, []).append(i)
+    index = {t: k for k, t in enumerate({t for s in kinds for t in s})}
+    groups = [v for s, v in kinds.items() if s]
+    codes = [np.array(sorted(index[t] for t in s)) for s in kinds if s]
+    sizes = np.array([len(c) for c in codes])
+    links = [(a, v[0]) for v in groups for a in v]
+    holders = {}
+    for k, c in enumerate(codes):
+        both = np.zeros(k, np.int64)
+        for t in c.tolist():
+            at = holders.setdefault(t, [])
+            both[at] += 1
+            at.append(k)
+        links += [(groups[k][0], groups[j][0]) for j in np.flatnonzero(100 * both >= 80 * (sizes[:k] + sizes[k] - both))]
     expected = grouped(sets, links)
+    return {i: (len(s), expected[i]) for i, s in sets.items()}
+
+
+def joined(spark, docs):
     got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), expected[i]) for i, s in sets.items()}
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
+
+
+def large_group(n=900, seed=11):
+    """Copies of one text with so many changes that most are near neither its centre nor each other, but chains of them are; and passages."""
+    r = random.Random(seed)
+    word = lambda k=9: "w" + str(r.randrange(k))
+    base = [word(10**6) for _ in range(110)]
+    passage = [word(10**6) for _ in range(40)]
+    out = [list(base)]
+    for _ in range(n):
+        copy = list(r.choice(out) if r.random() < 0.4 else base)
+        for _ in range(r.choice([1, 2, 3, 3, 4])):
+            copy[r.randrange(len(copy))] = word(r.choice([3, 10**6]))
+        out.append(copy)
+    out += [passage + [word(10**6) for _ in range(r.randint(0, 30))] for _ in range(300)]
+    out += [[word(4) for _ in range(r.randint(0, 12))] for _ in range(200)]
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_jaccard_join_equals_brute_force(spark):
+    docs = near_texts()
+    assert joined(spark, docs) == brute_groups(docs)
+
+
+@pytest.mark.parametrize("hot", [4, 1024])
+def test_jaccard_join_of_a_large_group_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", hot)
+    monkeypatch.setattr(jaccard_join, "CENTRE_ROWS", 50)
+    docs = large_group(seed=hot)
+    expected = brute_groups(docs)
+    assert len({c for _, c in expected.values()}) > 300
+    assert joined(spark, docs) == expected
+
+
+@needs_data
+def test_jaccard_join_of_the_test_table_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, "documents").select("doc_id", "text").collect()]
+    assert joined(spark, docs) == brute_groups(docs)
+
+
+def test_jaccard_join_makes_pairs_in_proportion_to_a_group(spark, monkeypatch):
+    made = []
+    compared = jaccard_join.compared
+    monkeypatch.setattr(jaccard_join, "compared", lambda pairs, *more: (made.append(pairs.count()), compared(pairs, *more))[1])
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", 64)
+    for n in (400, 1600):
+        joined(spark, large_group(n))
+        made.append(None)
+    small, large = (sum(made[: made.index(None)]), sum(x for x in made[made.index(None) + 1 :] if x))
+    assert large < 8 * small  # in proportion 4, by the square 16
+
+
+def test_difference_lemma_holds_for_every_linked_pair():
+    r = np.random.default_rng(8)
+    sketch = r.integers(0, 90, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)
+    near = lambda x, y: 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y))
+    seen = 0
+    for _ in range(3000):
+        c = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 90)), dtype=np.uint64))
+        edit = lambda s: np.unique(np.concatenate([r.permutation(s)[int(r.integers(0, 1 + len(s) // 3)) :], r.integers(0, 1 << 63, int(r.integers(0, 1 + len(s) // 3)), dtype=np.uint64)]))
+        x = edit(c)
+        y = edit(x)
+        if not len(x) or not len(y) or not near(x, y) or any(np.array_equal(a, b) for a, b in ((x, y), (x, c), (y, c))):
+            continue
+        (far, p, short, _), (away, q, brief, _) = jaccard_join.difference(x, c, sketch), jaccard_join.difference(y, c, sketch)
+        assert far == (not near(x, c)) and away == (not near(y, c))
+        if far or away:
+            seen += 1
+            meets = lambda p, q: len(np.intersect1d(p, q)) > 0
+            assert meets(p[:short], q[:brief]) if far and away else meets(p, q[:brief]) if far else meets(p[:short], q)
+    assert seen > 200
 
 
 def test_prefix_lemma_holds_for_every_linked_pair():
