@@ -9,7 +9,8 @@ Once a pair's sizes are known, it needs the smaller m of the two and what its ov
 
 1. One pass hashes every document: its set's size and id (equal sets share an id), and a count sketch of a fixed size.
 2. A second pass sends prefix postings to owners of shingle ranges, each task sending equal sets once. A shingle that the
-   sketch knows in HOT_LIST sets or more has no owner: its postings are dealt by salted rows.
+   sketch knows in HOT_LIST sets or more has no owner: its postings are dealt by salted rows. A set that meets others in fewer
+   lists than any partner of its size would ask for has none.
 3. No list is paired with itself. A list has one centre, the set with the highest rank (the most frequent
    shingles); every other set meets the centre alone, so a posting gives one pair at most. Pairs that share too few
    shingles of their prefixes with a centre are not verified, unless their list holds a third set.
@@ -20,7 +21,9 @@ Once a pair's sizes are known, it needs the smaller m of the two and what its ov
    far shorter lists, in which one of a pair has the element in its short prefix and one is far from the centre. Lists with FEW short
    or far sets pair those with the others, where the element's place in both differences leaves room for q; other lists
    get centres in turn, until none is left (step 3 again). In a group of copies, all that the group shares drops out of
-   the differences; what is left in a prefix are a copy's own changes. The rank of a pair's centres falls from round to round,
+   the differences; what is left in a prefix are a copy's own changes. Jaccard distances obey the triangle inequality, so
+   linked sets are within 1 - t of each other in their distance from the centre: those over 3(1 - t) meet by prefixes of the
+   sets themselves, those up to 2(1 - t) by differences, and those between by both. The rank of a pair's centres falls from round to round,
    so the rounds end, and no pair is lost on the way.
 5. Verification compares whole sets of 64-bit hashes; only sets that are in a pair are written, once, and read in each round.
 
@@ -44,8 +47,8 @@ from quirelight.llm.common import buffers_of, components, durable, in_bitmap, ke
 WORDS = 5
 #: Similarity in percent.
 PERCENT = 80
-#: Numbers of shared prefix shingles that a document may ask for.
-MATCHES = np.array([1, 2, 3, 4, 6, 8, 12, 16])
+#: Numbers of shared prefix shingles that a document may ask for; one that must share fewer with any partner asks for those.
+MATCHES = np.array([8, 10, 12, 16, 20, 24, 32, 48])
 #: Slots of the count sketch: 16 MB whatever the input. Its errors change costs, never results.
 SKETCH_BITS = 24
 _SEGMENTS = 64
@@ -61,7 +64,7 @@ OWNER_BYTES = 16 << 20
 HOT_LIST = 1024
 SALTS = 16
 #: Short or far sets of a list that are paired with each set of it; longer lists get a centre.
-FEW = 8
+FEW = 16
 #: Pairs with one centre that a copy of the centre's set serves.
 CENTRE_ROWS = 4096
 #: A class of equal sets with this share of all rows goes by broadcast: 64 classes at most.
@@ -172,7 +175,7 @@ def adaptive_prefix(shingles: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarra
     excess = sketch[_slots(shingles)]
     order = np.lexsort((shingles, excess))
     n, need = len(shingles), int(required(len(shingles)))
-    options = MATCHES[MATCHES <= need]
+    options = MATCHES[MATCHES <= need] if need > MATCHES[0] else np.array([need])
     sizes = n - need + options
     candidates = np.cumsum(np.exp2(excess[order[: sizes[-1]]] / 8.0) - 1)
     k = int(np.argmin(sizes + PAIR_COST * candidates[sizes - 1] / options))
@@ -190,7 +193,8 @@ def commonness(shingles: np.ndarray, sketch: np.ndarray) -> int:
 
 
 def own_lists(p: np.ndarray) -> dict[str, np.ndarray]:
-    """The pairs (centre, set) of the lists in an owner's postings, with the number of lists that gave each.
+    """The pairs (centre, set) of the lists in an owner's postings, with the number of lists that gave each; then each set's
+    lists, with no centre.
 
     A list's centre is the set with the highest rank. A pair is `more` where its list holds a third set; only then can other sets of the list be near each other.
     """
@@ -213,7 +217,18 @@ def own_lists(p: np.ndarray) -> dict[str, np.ndarray]:
     info = lambda q: (q["n"].astype(np.int64) << 3) | (q["bits"] >> 1)
     shared = np.diff(np.append(pair, len(x)))
     most = np.add.reduceat(more.astype(np.int64), pair) > 0 if len(pair) else more
-    return {"centre": c["set"][pair], "set": x["set"][pair], "shared": shared, "more": most, "centre_info": info(c)[pair], "info": info(x)[pair]}
+    q = p[(size[run] > 1) & (shorts[run] > 0)]
+    q = q[np.argsort(q["set"], kind="stable")]
+    own = np.flatnonzero(np.concatenate([[True], q["set"][1:] != q["set"][:-1]])) if len(q) else np.zeros(0, np.int64)
+    none = np.zeros(len(own), np.int64)
+    return {
+        "centre": pa.array(np.concatenate([c["set"][pair], none]), mask=np.arange(len(pair) + len(own)) >= len(pair)),
+        "set": np.concatenate([x["set"][pair], q["set"][own]]),
+        "shared": np.concatenate([shared, np.diff(np.append(own, len(q)))]),
+        "more": np.concatenate([most, none > 0]),
+        "centre_info": np.concatenate([info(c)[pair], none]),
+        "info": np.concatenate([info(x)[pair], info(q)[own]]),
+    }
 
 
 def prefix_pairs(texts: DataFrame, sketch, owners: int, seed: int) -> DataFrame:
@@ -270,7 +285,12 @@ def prefix_pairs(texts: DataFrame, sketch, owners: int, seed: int) -> DataFrame:
     cold = sent.filter("owner >= 0").groupBy("owner").applyInArrow(owned, columns)
     dealt = sent.filter("owner < 0").select("postings").mapInArrow(rows, "key long, set long, rank long, short long, far long, info long")
     dealt = durable(dealt.dropDuplicates(["key", "set"]), "hot")
-    pairs = cold.unionByName(centred(dealt, lists_of(dealt)))
+    met = durable(cold.unionByName(centred(dealt, lists_of(dealt))), "met")
+    # of a set of n, partners have ceil(n * PERCENT / 100) shingles at least
+    n = F.shiftright("info", 3)
+    least = F.expr(f"CAST(ceil(ceil(n * {PERCENT} / 100D) * {PERCENT} / 100D) AS BIGINT)")
+    alive = met.filter("centre IS NULL").groupBy("set").agg(F.sum("shared").alias("lists"), F.max(n).alias("n")).filter(F.col("lists") >= F.least(F.lit(int(MATCHES[0])), least))
+    pairs = met.filter("centre IS NOT NULL").join(alive.select("set"), "set", "left_semi")
     return pairs.groupBy("centre", "set").agg(F.sum("shared").alias("shared"), F.max("more").alias("more"), F.max("centre_info").alias("centre_info"), F.max("info").alias("info"))
 
 
@@ -293,11 +313,14 @@ def for_each_salt(rows: DataFrame) -> DataFrame:
 
 
 def centred(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs of each set with the centre of its list. Lists are aggregated before they shuffle, and rows meet what
+    """The pairs of each set with the centre of its list, and each set's lists, with no centre. Lists are aggregated before they shuffle, and rows meet what
     their list has in SALTS parts, so no task gets a whole list."""
     more = F.expr("size > 2 AND shorts > top_short AND fars > top_far").alias("more")
     centres = for_each_salt(lists.select("key", F.col("top_set").alias("centre"), F.col("top_info").alias("centre_info"), more))
-    met = salted(rows.select("key", "set", "info")).join(centres, ["key", "salt"]).filter("set <> centre")
+    met = salted(rows.select("key", "set", "info")).join(centres, ["key", "salt"])
+    both = F.array(F.when(F.col("set") != F.col("centre"), F.col("centre")), F.lit(None).cast("long"))
+    met = met.withColumn("centre", F.explode(F.when(F.col("set") != F.col("centre"), both).otherwise(F.slice(both, 2, 1))))
+    met = met.withColumn("more", F.col("more") & F.col("centre").isNotNull())
     return met.groupBy("centre", "set").agg(F.count("*").alias("shared"), F.max("more").alias("more"), F.max("centre_info").alias("centre_info"), F.max("info").alias("info"))
 
 
@@ -314,7 +337,7 @@ def next_pairs(rows: DataFrame) -> DataFrame:
     fits = F.expr(f"set <> set_1 AND short + short_1 > 0 AND far + far_1 > 0 AND 100 * least(n, n_1) >= {PERCENT} * greatest(n, n_1)")
     met = salted(rows.drop("rank", "info")).join(ones, ["key", "salt"]).filter(fits & room)
     direct = met.select(F.least("set", "set_1").alias("centre"), F.greatest("set", "set_1").alias("set"), F.lit(False).alias("more"))
-    stars = centred(rows, lists.filter(F.least("shorts", "fars") > FEW)).select("centre", "set", "more")
+    stars = centred(rows, lists.filter(F.least("shorts", "fars") > FEW)).filter("centre IS NOT NULL").select("centre", "set", "more")
     return durable(direct.unionByName(stars).groupBy("centre", "set").agg(F.max("more").alias("more")), "pairs")
 
 
@@ -338,26 +361,37 @@ def sets_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     return durable(texts.select("text").mapInArrow(run, "set long, hashes binary").groupBy("set").agg(F.first("hashes").alias("hashes")), "hashes")
 
 
-def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool, np.ndarray, int, int]:
-    """Whether x is far from c; the prefix of their symmetric difference by which x finds others; how many of it are short; the
-    size of the difference.
+def ordered(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return elements[np.lexsort((elements, weight))]
 
-    Two sets y and z share, if near each other and not both near c, an element in the short prefix of one and the prefix of the other;
-    sets near c have the short prefix alone, and of two far sets the short ones meet.
+
+def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool, list[tuple[int, np.ndarray, int, int]]]:
+    """Whether x is far from c, and up to two prefixes by which it finds others of the list: (0, elements, short, size) of its symmetric
+    difference from c, and (1, elements, short, size) of x itself. short counts the elements of the short prefix.
+
+    Two sets that are near each other and not both near c share an element of one kind, in the short prefix of one and the
+    whole prefix of the other; sets near c have the short prefix alone, and of two far sets the short ones meet.
     """
     more, less = 100 + PERCENT, 100 - PERCENT
     adds, lacks = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
     f = len(adds) + len(lacks)
-    far = more * f > less * (len(x) + len(c))
-    short = f - max(1, (more * f + less * (len(c) - len(x))) // (2 * more) + 1) + 1
-    whole = f - max(1, -(-(more * f - less * (len(x) + len(c))) // (2 * more))) + 1
-    # rarest first: what x adds is as frequent as the sketch says; what it lacks is lacked by the centre's group but for those that have it
-    frequent = np.exp2(sketch[_slots(c)].max() / 8.0)
-    lacked = 8 * np.log2(1 + np.maximum(frequent - np.exp2(sketch[_slots(lacks)] / 8.0), 0))
-    weight = np.concatenate([sketch[_slots(adds)].astype(np.float64), np.round(lacked)])
-    elements = np.concatenate([adds, lacks])
-    order = np.lexsort((elements, weight))
-    return far, elements[order[: max(short, whole if far else 0)]], short, f
+    union = len(c) + len(adds)
+    far = 100 * f > less * union
+    out = []
+    if 100 * f <= 3 * less * union:
+        short = f - max(1, (more * f + less * (len(c) - len(x))) // (2 * more) + 1) + 1
+        # sets near c can be partners of no others
+        meets_near = far and 100 * f <= 2 * less * union
+        whole = f - max(1, -(-(more * f - less * (len(x) + len(c))) // (2 * more))) + 1 if meets_near else 0
+        # rarest first: what x adds is as frequent as the sketch says; what it lacks is lacked by the centre's group but for those that have it
+        frequent = np.exp2(sketch[_slots(c)].max() / 8.0)
+        lacked = 8 * np.log2(1 + np.maximum(frequent - np.exp2(sketch[_slots(lacks)] / 8.0), 0))
+        weight = np.concatenate([sketch[_slots(adds)].astype(np.float64), np.round(lacked)])
+        out.append((0, ordered(np.concatenate([adds, lacks]), weight)[: max(short, whole)], short, f))
+    if 100 * f > 2 * less * union:
+        n = len(x)
+        out.append((1, ordered(x, sketch[_slots(x)])[: n - int(required(n)) + 1], n - int(required_of_shorter(n)) + 1, n))
+    return far, out
 
 
 def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
@@ -375,13 +409,14 @@ def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
             for i in range(batch.num_rows):
                 c, x = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (3, 4))
                 if more[i]:
-                    far, prefix, short, f = difference(x, c, sketch.value)
-                    at = np.arange(len(prefix))
+                    far, prefixes = difference(x, c, sketch.value)
                     ids = np.array([centre[i], member[i]], np.int64)
                     own = rank(ids[1:], np.array([commonness(x, sketch.value)]))
-                    key = splitmix(prefix * _STEP + splitmix(ids[:1].view(np.uint64))).view(np.int64)
-                    for column, v in zip(out, (key, ids[1], own[0], at < short, far, len(x), f, at), strict=True):
-                        column.append(np.broadcast_to(np.asarray(v, np.int64), at.shape))
+                    for kind, prefix, short, size in prefixes:
+                        at = np.arange(len(prefix))
+                        key = splitmix(prefix * _STEP + splitmix(ids[:1].view(np.uint64) + np.uint64(kind))).view(np.int64)
+                        for column, v in zip(out, (key, ids[1], own[0], at < short, far, len(x), size, at), strict=True):
+                            column.append(np.broadcast_to(np.asarray(v, np.int64), at.shape))
                 else:
                     both = len(np.intersect1d(x, c, assume_unique=True))
                     far = 100 * both < PERCENT * (len(x) + len(c) - both)
@@ -404,13 +439,13 @@ def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame | No
     # with sizes known, the overlap that a link needs raises the number of shared shingles over both sets' m; where the pair
     # shares them in lists of other centres, those lists hold a third set and answer for it
     matches = F.array(*[F.lit(int(m)) for m in MATCHES])
-    asked = lambda c: F.element_at(matches, (c.bitwiseAND(F.lit(7)) + 1).cast("int"))
+    asked = lambda info, n: F.least(F.element_at(matches, (info.bitwiseAND(F.lit(7)) + 1).cast("int")), F.expr(f"CAST(ceil({n} * {PERCENT} / 100D) AS BIGINT)"))
     small, large = F.least("centre_info", "info"), F.greatest("centre_info", "info")
     pairs = pairs.withColumn("na", F.shiftright(small, 3)).withColumn("nb", F.shiftright(large, 3))
     overlap = F.expr(f"CAST(ceil({PERCENT} * (na + nb) / {100 + PERCENT}D) AS BIGINT)")
     of_small = F.expr(f"CAST(ceil(na * {2 * PERCENT} / {100 + PERCENT}D) AS BIGINT)")
     of_large = F.expr(f"CAST(ceil(nb * {PERCENT} / 100D) AS BIGINT)")
-    enough = (F.col("shared") >= F.least(asked(small) + overlap - of_small, asked(large) + overlap - of_large)) & F.expr(f"100 * na >= {PERCENT} * nb")
+    enough = (F.col("shared") >= F.least(asked(small, "na") + overlap - of_small, asked(large, "nb") + overlap - of_large)) & F.expr(f"100 * na >= {PERCENT} * nb")
     pairs = durable(pairs.filter(F.col("more") | enough).select("centre", "set", "more"), "pairs")
     if not pairs.take(1):
         return None

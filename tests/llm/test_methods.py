@@ -301,12 +301,12 @@ def test_difference_lemma_holds_for_every_linked_pair():
         y = edit(x)
         if not len(x) or not len(y) or not near(x, y) or any(np.array_equal(a, b) for a, b in ((x, y), (x, c), (y, c))):
             continue
-        (far, p, short, _), (away, q, brief, _) = jaccard_join.difference(x, c, sketch), jaccard_join.difference(y, c, sketch)
+        (far, ps), (away, qs) = jaccard_join.difference(x, c, sketch), jaccard_join.difference(y, c, sketch)
         assert far == (not near(x, c)) and away == (not near(y, c))
         if far or away:
             seen += 1
-            meets = lambda p, q: len(np.intersect1d(p, q)) > 0
-            assert meets(p[:short], q[:brief]) if far and away else meets(p, q[:brief]) if far else meets(p[:short], q)
+            both = [(p[:short] if away else p, q[:brief] if far else q) for k, p, short, _ in ps for j, q, brief, _ in qs if k == j]
+            assert any(len(np.intersect1d(p, q)) for p, q in both)
     assert seen > 200
 
 
@@ -324,7 +324,8 @@ def test_prefix_lemma_holds_for_every_linked_pair():
             continue
         (p, short, k, _), (q, _, m, _) = jaccard_join.adaptive_prefix(small, sketch), jaccard_join.adaptive_prefix(large, sketch)
         need = -(-80 * (len(x) + len(y)) // 180)
-        least = min(jaccard_join.MATCHES[k] + need - jaccard_join.required_of_shorter(len(small)), jaccard_join.MATCHES[m] + need - jaccard_join.required(len(large)))
+        m_of = lambda i, s: min(jaccard_join.MATCHES[i], jaccard_join.required(len(s)))
+        least = min(m_of(k, small) + need - jaccard_join.required_of_shorter(len(small)), m_of(m, large) + need - jaccard_join.required(len(large)))
         assert len(np.intersect1d(p[:short], q)) >= least >= 1
 
 
