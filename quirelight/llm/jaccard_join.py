@@ -10,7 +10,8 @@ Once a pair's sizes are known, it needs the smaller m of the two and what its ov
 1. One pass hashes every document: its set's size and id (equal sets share an id), and a count sketch of a fixed size.
 2. A second pass sends prefix postings to owners of shingle ranges, each task sending equal sets once. A shingle that the
    sketch knows in HOT_LIST sets or more has no owner: its postings are dealt by salted rows. A set that meets others in fewer
-   lists than any partner of its size would ask for has none.
+   lists than any partner of its size would ask for has none. With m shared lists sure, a set may leave (m - 1) / 3 of its lists,
+   those of the centres that it meets least: passages of a text that another has.
 3. No list is paired with itself. A list has one centre, the set with the highest rank (the most frequent
    shingles); every other set meets the centre alone, so a posting gives one pair at most. Pairs that share too few
    shingles of their prefixes with a centre are not verified, unless their list holds a third set.
@@ -19,8 +20,9 @@ Once a pair's sizes are known, it needs the smaller m of the two and what its ov
    through it. If x is not near the centre and is near y, F(x) and F(y) must share elements: at least
    q = (|F(x)| + |F(y)| - (|x| + |y|)(1 - t) / (1 + t)) / 2. So prefixes of the differences, in an order of their own, give new and
    far shorter lists, in which one of a pair has the element in its short prefix and one is far from the centre. Lists with FEW short
-   or far sets pair those with the others, where the element's place in both differences leaves room for q; other lists
-   get centres in turn, until none is left (step 3 again). In a group of copies, all that the group shares drops out of
+   or far sets pair those with the others, where the elements' places in both differences leave room for q; other lists
+   get centres in turn, until none is left (step 3 again). Lists and pairs inside a component of the links found so far are left
+   out; they cannot change it. In a group of copies, all that the group shares drops out of
    the differences; what is left in a prefix are a copy's own changes. Jaccard distances obey the triangle inequality, so
    linked sets are within 1 - t of each other in their distance from the centre: those over 3(1 - t) meet by prefixes of the
    sets themselves, those up to 2(1 - t) by differences, and those between by both. The rank of a pair's centres falls from round to round,
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelight.llm.common import buffers_of, components, durable, in_bitmap, key_bitmap, packed, prepare, slices, splitmix, text_of, total_bytes, word_hashes
@@ -48,7 +50,7 @@ WORDS = 5
 #: Similarity in percent.
 PERCENT = 80
 #: Numbers of shared prefix shingles that a document may ask for; one that must share fewer with any partner asks for those.
-MATCHES = np.array([8, 10, 12, 16, 20, 24, 32, 48])
+MATCHES = np.array([32, 36, 40, 48, 56, 64, 80, 96])
 #: Slots of the count sketch: 16 MB whatever the input. Its errors change costs, never results.
 SKETCH_BITS = 24
 _SEGMENTS = 64
@@ -63,8 +65,10 @@ OWNER_BYTES = 16 << 20
 #: Estimated sets of a shingle from which its list has no owner but is dealt in SALTS parts.
 HOT_LIST = 1024
 SALTS = 16
+#: Shared elements that differences from a centre ask for, and that sets far from a common centre do.
+DIFFERENCE_MATCHES, DISTANT_MATCHES = 4, 16
 #: Short or far sets of a list that are paired with each set of it; longer lists get a centre.
-FEW = 16
+FEW = 64
 #: Pairs with one centre that a copy of the centre's set serves.
 CENTRE_ROWS = 4096
 #: A class of equal sets with this share of all rows goes by broadcast: 64 classes at most.
@@ -285,13 +289,25 @@ def prefix_pairs(texts: DataFrame, sketch, owners: int, seed: int) -> DataFrame:
     cold = sent.filter("owner >= 0").groupBy("owner").applyInArrow(owned, columns)
     dealt = sent.filter("owner < 0").select("postings").mapInArrow(rows, "key long, set long, rank long, short long, far long, info long")
     dealt = durable(dealt.dropDuplicates(["key", "set"]), "hot")
-    met = durable(cold.unionByName(centred(dealt, lists_of(dealt))), "met")
-    # of a set of n, partners have ceil(n * PERCENT / 100) shingles at least
-    n = F.shiftright("info", 3)
-    least = F.expr(f"CAST(ceil(ceil(n * {PERCENT} / 100D) * {PERCENT} / 100D) AS BIGINT)")
-    alive = met.filter("centre IS NULL").groupBy("set").agg(F.sum("shared").alias("lists"), F.max(n).alias("n")).filter(F.col("lists") >= F.least(F.lit(int(MATCHES[0])), least))
+    hot = centred(dealt.withColumn("node", F.lit(0)), lists_of(dealt)).drop("node")
+    met = durable(cold.unionByName(hot), "met")
+    alive = met.filter("centre IS NULL").groupBy("set").agg(F.sum("shared").alias("lists"), F.max(F.shiftright("info", 3)).alias("n"))
+    alive = alive.filter(F.col("lists") >= sure("n"))
     pairs = met.filter("centre IS NOT NULL").join(alive.select("set"), "set", "left_semi")
-    return pairs.groupBy("centre", "set").agg(F.sum("shared").alias("shared"), F.max("more").alias("more"), F.max("centre_info").alias("centre_info"), F.max("info").alias("info"))
+    pairs = pairs.groupBy("centre", "set").agg(F.sum("shared").alias("shared"), F.max("more").alias("more"), F.max("centre_info").alias("centre_info"), F.max("info").alias("info"))
+    so_far = F.sum("shared").over(Window.partitionBy("set").orderBy("shared", "centre").rowsBetween(Window.unboundedPreceding, 0))
+    return pairs.withColumn("so_far", so_far).filter(F.col("so_far") > spare("shiftright(info, 3)")).drop("so_far")
+
+
+def sure(n: str) -> Column:
+    """Lists that a set of n shares with any partner: partners have ceil(n * PERCENT / 100) shingles at least."""
+    partner = f"(({n}) * {PERCENT} + 99) div 100"
+    return F.expr(f"least({MATCHES[0]}, greatest(1, (({partner}) * {PERCENT} + 99) div 100))")
+
+
+def spare(n: str) -> Column:
+    """Lists that a set of n may leave: two partners and the pair itself leave fewer than they share."""
+    return F.floor((sure(n) - 1) / 3)
 
 
 def lists_of(rows: DataFrame) -> DataFrame:
@@ -299,9 +315,10 @@ def lists_of(rows: DataFrame) -> DataFrame:
 
     Two sets of a list can be near each other only if one of them is short and one is far.
     """
-    top = [F.max_by(c, "rank").alias(f"top_{c}") for c in ("set", "info", "short", "far")]
-    lists = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("short").alias("shorts"), F.sum("far").alias("fars"), *top)
-    return lists.filter("size > 1 AND shorts > 0 AND fars > 0")
+    ends = [F.min("component").alias("low"), F.max("component").alias("high")] if "component" in rows.columns else [F.lit(None).alias("low"), F.lit(None).alias("high")]
+    top = [F.max_by(c, "rank").alias(f"top_{c}") for c in ("set", "info", "short", "far") if c in rows.columns]
+    lists = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum("short").alias("shorts"), F.sum("far").alias("fars"), *top, *ends)
+    return lists.filter("size > 1 AND shorts > 0 AND fars > 0 AND (low IS NULL OR low <> high)")
 
 
 def salted(rows: DataFrame) -> DataFrame:
@@ -316,29 +333,42 @@ def centred(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """The pairs of each set with the centre of its list, and each set's lists, with no centre. Lists are aggregated before they shuffle, and rows meet what
     their list has in SALTS parts, so no task gets a whole list."""
     more = F.expr("size > 2 AND shorts > top_short AND fars > top_far").alias("more")
-    centres = for_each_salt(lists.select("key", F.col("top_set").alias("centre"), F.col("top_info").alias("centre_info"), more))
-    met = salted(rows.select("key", "set", "info")).join(centres, ["key", "salt"])
+    info = F.col("top_info") if "top_info" in lists.columns else F.lit(0).cast("long")
+    centres = for_each_salt(lists.select("key", F.col("top_set").alias("centre"), info.alias("centre_info"), more))
+    met = salted(rows.select("key", "node", "set", "info")).join(centres, ["key", "salt"])
     both = F.array(F.when(F.col("set") != F.col("centre"), F.col("centre")), F.lit(None).cast("long"))
     met = met.withColumn("centre", F.explode(F.when(F.col("set") != F.col("centre"), both).otherwise(F.slice(both, 2, 1))))
     met = met.withColumn("more", F.col("more") & F.col("centre").isNotNull())
-    return met.groupBy("centre", "set").agg(F.count("*").alias("shared"), F.max("more").alias("more"), F.max("centre_info").alias("centre_info"), F.max("info").alias("info"))
+    return met.groupBy("node", "centre", "set").agg(F.count("*").alias("shared"), F.max("more").alias("more"), F.max("centre_info").alias("centre_info"), F.max("info").alias("info"))
 
 
 def next_pairs(rows: DataFrame) -> DataFrame:
-    """(centre, set, more): the pairs that the lists of differences ask for; rows also have n, size of the difference and place in it."""
+    """(centre, set, more): the pairs that the lists of differences ask for. Rows also have the node (a centre and a kind of prefix),
+    n, the size of the difference, the place in it, and what the set surely shares with a partner of the node."""
+    kept = salted(rows).join(for_each_salt(lists_of(rows).select("key")), ["key", "salt"], "left_semi").drop("salt")
+    kept = durable(kept, "listed")
+    alive = kept.groupBy("node", "set").agg(F.count("*").alias("lists"), F.first("sure").alias("sure")).filter("lists >= sure").select("node", "set")
+    rows = durable(kept.join(alive, ["node", "set"], "left_semi").withColumn("spare", F.expr("(sure - 1) div 3")), "alive")
     lists = durable(lists_of(rows), "lists")
     kind = F.when(F.col("fars") <= F.col("shorts"), "far").otherwise("short")
     few = lists.filter(F.least("shorts", "fars") <= FEW).select("key", kind.alias("kind"))
     # at most FEW of a list
     ones = rows.join(few, "key").filter(F.when(F.col("kind") == "far", F.col("far")).otherwise(F.col("short")) == 1)
-    ones = for_each_salt(ones.select("key", *[F.col(c).alias(f"{c}_1") for c in ("set", "short", "far", "n", "differ", "place")]))
+    ones = for_each_salt(ones.select("key", *[F.col(c).alias(f"{c}_1") for c in ("set", "short", "far", "n", "differ", "place", "spare", "component")]))
+    # the first shared elements, one more than the pair and both sets may leave, have their place before these
+    left = F.col("spare") + F.col("spare_1") + F.least("spare", "spare_1")
     q = F.expr(f"CAST(ceil((differ + differ_1 - (n + n_1) * {100 - PERCENT} / {100 + PERCENT}D) / 2 - 1e-6) AS BIGINT)")
-    room = (F.col("place") <= F.col("differ") - q) & (F.col("place_1") <= F.col("differ_1") - q)
-    fits = F.expr(f"set <> set_1 AND short + short_1 > 0 AND far + far_1 > 0 AND 100 * least(n, n_1) >= {PERCENT} * greatest(n, n_1)")
-    met = salted(rows.drop("rank", "info")).join(ones, ["key", "salt"]).filter(fits & room)
-    direct = met.select(F.least("set", "set_1").alias("centre"), F.greatest("set", "set_1").alias("set"), F.lit(False).alias("more"))
-    stars = centred(rows, lists.filter(F.least("shorts", "fars") > FEW)).filter("centre IS NOT NULL").select("centre", "set", "more")
-    return durable(direct.unionByName(stars).groupBy("centre", "set").agg(F.max("more").alias("more")), "pairs")
+    room = (F.col("place") <= F.col("differ") - q + left) & (F.col("place_1") <= F.col("differ_1") - q + left)
+    fits = F.expr(f"component <> component_1 AND short + short_1 > 0 AND far + far_1 > 0 AND 100 * least(n, n_1) >= {PERCENT} * greatest(n, n_1)")
+    met = salted(rows.drop("rank")).join(ones, ["key", "salt"]).filter(fits & room)
+    met = met.select("node", "key", F.least("set", "set_1").alias("centre"), F.greatest("set", "set_1").alias("set"), F.least("spare", "spare_1").alias("spare")).distinct()
+    direct = met.groupBy("node", "centre", "set").agg(F.count("*").alias("shared"), F.max("spare").alias("spare")).filter("shared > spare")
+    long = lists.filter(F.least("shorts", "fars") > FEW)
+    stars = centred(rows.withColumn("info", F.col("spare")), long).filter("centre IS NOT NULL")
+    so_far = F.sum("shared").over(Window.partitionBy("node", "set").orderBy("shared", "centre").rowsBetween(Window.unboundedPreceding, 0))
+    stars = stars.withColumn("so_far", so_far).filter("so_far > info")
+    pairs = direct.select("centre", "set", F.lit(False).alias("more")).unionByName(stars.select("centre", "set", "more"))
+    return durable(pairs.groupBy("centre", "set").agg(F.max("more").alias("more")), "pairs")
 
 
 def sets_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
@@ -365,12 +395,12 @@ def ordered(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return elements[np.lexsort((elements, weight))]
 
 
-def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool, list[tuple[int, np.ndarray, int, int]]]:
-    """Whether x is far from c, and up to two prefixes by which it finds others of the list: (0, elements, short, size) of its symmetric
-    difference from c, and (1, elements, short, size) of x itself. short counts the elements of the short prefix.
+def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool, list[tuple[int, np.ndarray, int, int, int]]]:
+    """Whether x is far from c, and up to two prefixes by which it finds others of the list, as (kind, elements, short, size, sure):
+    of kind 0 from its symmetric difference from c, of kind 1 from x itself. short counts the elements of the short prefix.
 
-    Two sets that are near each other and not both near c share an element of one kind, in the short prefix of one and the
-    whole prefix of the other; sets near c have the short prefix alone, and of two far sets the short ones meet.
+    Two sets that are near each other and not both near c share elements of one kind, in the short prefix of one and the
+    whole prefix of the other, as many as is sure of either; sets near c have the short prefix alone. A prefix leaves out all but `sure` of the elements that the set must share.
     """
     more, less = 100 + PERCENT, 100 - PERCENT
     adds, lacks = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
@@ -379,28 +409,36 @@ def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool,
     far = 100 * f > less * union
     out = []
     if 100 * f <= 3 * less * union:
-        short = f - max(1, (more * f + less * (len(c) - len(x))) // (2 * more) + 1) + 1
-        # sets near c can be partners of no others
-        meets_near = far and 100 * f <= 2 * less * union
-        whole = f - max(1, -(-(more * f - less * (len(x) + len(c))) // (2 * more))) + 1 if meets_near else 0
+        # a partner has at most 100 / PERCENT times the shingles, and its difference is within `apart` of f: the smaller of two
+        # differences shares all but apart / 2 of its elements, the larger all but apart
+        apart = less * (len(x) + 100 * len(x) // PERCENT) // more
+        least = max(1, (more * f + less * (len(c) - len(x))) // (2 * more) + 1)
+        as_smaller, as_larger = max(least, f - apart // 2 if far else 0), max(least, f - apart if far else 0)
+        if far and 100 * f <= 2 * less * union:
+            # sets near c may be partners; of no others
+            as_larger = min(as_larger, max(1, -(-(more * f - less * (len(x) + len(c))) // (2 * more))))
+        sure = min(DIFFERENCE_MATCHES, as_larger)
+        short, whole = (f - k + min(DIFFERENCE_MATCHES, k) for k in (as_smaller, as_larger))
         # rarest first: what x adds is as frequent as the sketch says; what it lacks is lacked by the centre's group but for those that have it
         frequent = np.exp2(sketch[_slots(c)].max() / 8.0)
         lacked = 8 * np.log2(1 + np.maximum(frequent - np.exp2(sketch[_slots(lacks)] / 8.0), 0))
         weight = np.concatenate([sketch[_slots(adds)].astype(np.float64), np.round(lacked)])
-        out.append((0, ordered(np.concatenate([adds, lacks]), weight)[: max(short, whole)], short, f))
+        out.append((0, ordered(np.concatenate([adds, lacks]), weight)[: max(short, whole if far else 0)], short, f, sure))
     if 100 * f > 2 * less * union:
         n = len(x)
-        out.append((1, ordered(x, sketch[_slots(x)])[: n - int(required(n)) + 1], n - int(required_of_shorter(n)) + 1, n))
+        sure = min(DISTANT_MATCHES, int(required(required(n))))
+        whole, short = (n - int(need) + min(DISTANT_MATCHES, int(need)) for need in (required(n), required_of_shorter(n)))
+        out.append((1, ordered(x, sketch[_slots(x)])[:whole], short, n, sure))
     return far, out
 
 
 def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
-    """Rows (centre, set, null...) of pairs that are links, and rows (null, null, key, set...) of the differences' prefixes."""
+    """Rows (centre, set, null...) of pairs that are links, and rows (null, null, key, node, set...) of the differences' prefixes."""
     centres = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
     dealt = pairs.join(centres, "centre").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     of_centre = sets.withColumnRenamed("set", "centre").join(centres, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("middle"))
     whole = dealt.join(of_centre, ["centre", "part"]).select("centre", "set", "more", "middle").join(sets, "set")
-    names = ["a", "b", "key", "set", "rank", "short", "far", "n", "differ", "place"]
+    names = ["a", "b", "key", "node", "set", "rank", "short", "far", "n", "differ", "place", "sure"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,10 +450,11 @@ def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
                     far, prefixes = difference(x, c, sketch.value)
                     ids = np.array([centre[i], member[i]], np.int64)
                     own = rank(ids[1:], np.array([commonness(x, sketch.value)]))
-                    for kind, prefix, short, size in prefixes:
+                    for kind, prefix, short, size, sure in prefixes:
                         at = np.arange(len(prefix))
-                        key = splitmix(prefix * _STEP + splitmix(ids[:1].view(np.uint64) + np.uint64(kind))).view(np.int64)
-                        for column, v in zip(out, (key, ids[1], own[0], at < short, far, len(x), size, at), strict=True):
+                        node = splitmix(ids[:1].view(np.uint64) + np.uint64(kind))
+                        key = splitmix(prefix * _STEP + node).view(np.int64)
+                        for column, v in zip(out, (key, node.view(np.int64)[0], ids[1], own[0], at < short, far, len(x), size, at, sure), strict=True):
                             column.append(np.broadcast_to(np.asarray(v, np.int64), at.shape))
                 else:
                     both = len(np.intersect1d(x, c, assume_unique=True))
@@ -431,13 +470,13 @@ def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
     return durable(whole.select("centre", "set", "more", "middle", "hashes").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "compared")
 
 
-def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame | None:
-    """(a, b): links between classes that give the components of all links; None where no prefixes meet."""
+def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:
+    """(set, component) of the classes that have links."""
     owners = max(64, total_bytes(texts, F.col("text")) // OWNER_BYTES)
     shipped = texts.sparkSession.sparkContext.broadcast(sketch)
     pairs = prefix_pairs(texts, shipped, int(owners), seed)
     # with sizes known, the overlap that a link needs raises the number of shared shingles over both sets' m; where the pair
-    # shares them in lists of other centres, those lists hold a third set and answer for it
+    # shares them in lists of other centres that neither has left, those lists hold a third set and answer for it
     matches = F.array(*[F.lit(int(m)) for m in MATCHES])
     asked = lambda info, n: F.least(F.element_at(matches, (info.bitwiseAND(F.lit(7)) + 1).cast("int")), F.expr(f"CAST(ceil({n} * {PERCENT} / 100D) AS BIGINT)"))
     small, large = F.least("centre_info", "info"), F.greatest("centre_info", "info")
@@ -445,18 +484,20 @@ def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame | No
     overlap = F.expr(f"CAST(ceil({PERCENT} * (na + nb) / {100 + PERCENT}D) AS BIGINT)")
     of_small = F.expr(f"CAST(ceil(na * {2 * PERCENT} / {100 + PERCENT}D) AS BIGINT)")
     of_large = F.expr(f"CAST(ceil(nb * {PERCENT} / 100D) AS BIGINT)")
-    enough = (F.col("shared") >= F.least(asked(small, "na") + overlap - of_small, asked(large, "nb") + overlap - of_large)) & F.expr(f"100 * na >= {PERCENT} * nb")
+    least = F.least(asked(small, "na") + overlap - of_small, asked(large, "nb") + overlap - of_large) - spare("na") - spare("nb")
+    enough = (F.col("shared") >= least) & F.expr(f"100 * na >= {PERCENT} * nb")
     pairs = durable(pairs.filter(F.col("more") | enough).select("centre", "set", "more"), "pairs")
+    groups = pairs.select("set", F.col("set").alias("component")).limit(0)
     if not pairs.take(1):
-        return None
+        return groups
     sets = sets_of(texts, pairs, seed)
-    found = None
     while pairs.take(1):
         step = compared(pairs, sets, shipped)
         linked = step.filter("a IS NOT NULL").select("a", "b")
-        found = linked if found is None else found.unionByName(linked)
-        pairs = next_pairs(step.filter("key IS NOT NULL").drop("a", "b").withColumn("info", F.lit(0).cast("long")))
-    return found
+        groups = durable(components(groups.toDF("a", "b").unionByName(linked)).withColumnRenamed("node", "set"), "groups")
+        rows = step.filter("key IS NOT NULL").drop("a", "b").join(groups, "set", "left").withColumn("component", F.coalesce("component", "set"))
+        pairs = next_pairs(rows)
+    return groups
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -471,9 +512,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes = durable(classes, "classes")
         if not classes.filter("low <> high").take(1):
             break
-    found = links(texts, sketch, seed)
-    groups = classes.select("set", F.col("set").alias("component")).limit(0) if found is None else components(found).select(F.col("node").alias("set"), "component")
-    grouped = classes.join(groups, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    grouped = classes.join(links(texts, sketch, seed), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = durable(grouped.join(least, "component").select("set", "rows", "component_id"), "named")
     hot = F.col("rows") >= max(2, int(full.count() * HOT_SHARE))

@@ -305,8 +305,9 @@ def test_difference_lemma_holds_for_every_linked_pair():
         assert far == (not near(x, c)) and away == (not near(y, c))
         if far or away:
             seen += 1
-            both = [(p[:short] if away else p, q[:brief] if far else q) for k, p, short, _ in ps for j, q, brief, _ in qs if k == j]
-            assert any(len(np.intersect1d(p, q)) for p, q in both)
+            kinds = {k: (p, short, q, brief, max(sure, certain)) for k, p, short, _, sure in ps for j, q, brief, _, certain in qs if k == j}
+            meet = {k: max(len(np.intersect1d(p[:short], q)), len(np.intersect1d(p, q[:brief]))) >= least for k, (p, short, q, brief, least) in kinds.items()}
+            assert any(meet.values())
     assert seen > 200
 
 
