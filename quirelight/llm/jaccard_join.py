@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +63,8 @@ PAIR_COST = 4.0
 FLUSH = 1_000_000
 #: Bytes of text for each owner of postings.
 OWNER_BYTES = 16 << 20
-#: Estimated sets of a shingle from which its list has no owner but is dealt in SALTS parts.
-HOT_LIST = 1024
+#: Estimated sets of a shingle from which its list has no owner but is dealt in SALTS parts; an owner holds 1.5 MB of a shorter one.
+HOT_LIST = 1 << 16
 SALTS = 16
 #: Shared elements that differences from a centre ask for, and that sets far from a common centre do.
 DIFFERENCE_MATCHES, DISTANT_MATCHES = 4, 16
@@ -252,7 +253,8 @@ def prefix_pairs(texts: DataFrame, sketch, owners: int, seed: int) -> DataFrame:
             order = np.argsort(owner, kind="stable")
             p, cuts = p[order], np.searchsorted(owner[order], np.arange(-1, owners + 1))
             keep = [o for o in range(owners + 1) if cuts[o] < cuts[o + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([o - 1 for o in keep], pa.int32()), packed([p[cuts[o] : cuts[o + 1]].tobytes() for o in keep])], ["owner", "postings"])
+            away = -1 - TaskContext.get().partitionId() % owners
+            return pa.RecordBatch.from_arrays([pa.array([o - 1 if o else away for o in keep], pa.int32()), packed([p[cuts[o] : cuts[o + 1]].tobytes() for o in keep])], ["owner", "postings"])
 
         for batch in batches:
             data, offsets = buffers_of(batch.column(0))
@@ -271,11 +273,16 @@ def prefix_pairs(texts: DataFrame, sketch, owners: int, seed: int) -> DataFrame:
         yield send()
 
     names = ["centre", "set", "shared", "more", "centre_info", "info"]
-    columns = "centre long, set long, shared long, more boolean, centre_info long, info long"
+    columns = "centre long, set long, shared long, more boolean, centre_info long, info long, postings binary"
 
     def owned(group: pa.Table) -> pa.Table:
+        """An owner's pairs; postings without an owner as they are."""
+        if group["owner"][0].as_py() < 0:
+            n = group.num_rows
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            return pa.Table.from_arrays([pa.nulls(n, t) for t in types] + [group["postings"]], [*names, "postings"])
         found = own_lists(np.concatenate([np.frombuffer(x, POSTING) for x in group["postings"].to_pylist()]))
-        return pa.table({k: pa.array(found[k]) for k in names})
+        return pa.table({k: pa.array(found[k]) for k in names} | {"postings": pa.nulls(len(found["set"]), pa.binary())})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,12 +292,12 @@ def prefix_pairs(texts: DataFrame, sketch, owners: int, seed: int) -> DataFrame:
                 columns = (p["key"].copy().view(np.int64), p["set"], rank(p["set"].copy(), p["common"]), (p["bits"] & 1).astype(np.int64), np.ones(len(p), np.int64), info)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "set", "rank", "short", "far", "info"])
 
-    sent = durable(texts.select("text").mapInArrow(run, "owner int, postings binary"), "postings")
-    cold = sent.filter("owner >= 0").groupBy("owner").applyInArrow(owned, columns)
-    dealt = sent.filter("owner < 0").select("postings").mapInArrow(rows, "key long, set long, rank long, short long, far long, info long")
+    sent = texts.select("text").mapInArrow(run, "owner int, postings binary")
+    owners_found = durable(sent.groupBy("owner").applyInArrow(owned, columns), "owned")
+    dealt = owners_found.filter("postings IS NOT NULL").select("postings").mapInArrow(rows, "key long, set long, rank long, short long, far long, info long")
     dealt = durable(dealt.dropDuplicates(["key", "set"]), "hot")
-    hot = centred(dealt.withColumn("node", F.lit(0)), lists_of(dealt)).drop("node")
-    met = durable(cold.unionByName(hot), "met")
+    hot = centred(dealt.withColumn("node", F.lit(0)), lists_of(dealt), SALTS).drop("node")
+    met = owners_found.filter("postings IS NULL").drop("postings").unionByName(hot)
     alive = met.filter("centre IS NULL").groupBy("set").agg(F.sum("shared").alias("lists"), F.max(F.shiftright("info", 3)).alias("n"))
     alive = alive.filter(F.col("lists") >= sure("n"))
     pairs = met.filter("centre IS NOT NULL").join(alive.select("set"), "set", "left_semi")
@@ -321,21 +328,17 @@ def lists_of(rows: DataFrame) -> DataFrame:
     return lists.filter("size > 1 AND shorts > 0 AND fars > 0 AND (low IS NULL OR low <> high)")
 
 
-def salted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int"))
-
-
-def for_each_salt(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def centred(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs of each set with the centre of its list, and each set's lists, with no centre. Lists are aggregated before they shuffle, and rows meet what
-    their list has in SALTS parts, so no task gets a whole list."""
+def centred(rows: DataFrame, lists: DataFrame, salts: int = 1) -> DataFrame:
+    """The pairs of each set with the centre of its list, and each set's lists, with no centre. Lists are aggregated before they
+    shuffle, and rows meet their list's centre in so many parts; beyond that Spark splits a skewed join."""
     more = F.expr("size > 2 AND shorts > top_short AND fars > top_far").alias("more")
     info = F.col("top_info") if "top_info" in lists.columns else F.lit(0).cast("long")
-    centres = for_each_salt(lists.select("key", F.col("top_set").alias("centre"), info.alias("centre_info"), more))
-    met = salted(rows.select("key", "node", "set", "info")).join(centres, ["key", "salt"])
+    centres = lists.select("key", F.col("top_set").alias("centre"), info.alias("centre_info"), more)
+    met, on = rows.select("key", "node", "set", "info"), ["key"]
+    if salts > 1:
+        met, on = met.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(salts)).cast("int")), ["key", "salt"]
+        centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = met.join(centres, on)
     both = F.array(F.when(F.col("set") != F.col("centre"), F.col("centre")), F.lit(None).cast("long"))
     met = met.withColumn("centre", F.explode(F.when(F.col("set") != F.col("centre"), both).otherwise(F.slice(both, 2, 1))))
     met = met.withColumn("more", F.col("more") & F.col("centre").isNotNull())
@@ -345,8 +348,8 @@ def centred(rows: DataFrame, lists: DataFrame) -> DataFrame:
 def next_pairs(rows: DataFrame) -> DataFrame:
     """(centre, set, more): the pairs that the lists of differences ask for. Rows also have the node (a centre and a kind of prefix),
     n, the size of the difference, the place in it, and what the set surely shares with a partner of the node."""
-    kept = salted(rows).join(for_each_salt(lists_of(rows).select("key")), ["key", "salt"], "left_semi").drop("salt")
-    kept = durable(kept, "listed")
+    ends = rows.groupBy("key").agg(F.max("short").alias("short"), F.max("far").alias("far"), F.min("component").alias("low"), F.max("component").alias("high"))
+    kept = durable(rows.join(ends.filter("short > 0 AND far > 0 AND low <> high").select("key"), "key", "left_semi"), "listed")
     alive = kept.groupBy("node", "set").agg(F.count("*").alias("lists"), F.first("sure").alias("sure")).filter("lists >= sure").select("node", "set")
     rows = durable(kept.join(alive, ["node", "set"], "left_semi").withColumn("spare", F.expr("(sure - 1) div 3")), "alive")
     lists = durable(lists_of(rows), "lists")
@@ -354,13 +357,13 @@ def next_pairs(rows: DataFrame) -> DataFrame:
     few = lists.filter(F.least("shorts", "fars") <= FEW).select("key", kind.alias("kind"))
     # at most FEW of a list
     ones = rows.join(few, "key").filter(F.when(F.col("kind") == "far", F.col("far")).otherwise(F.col("short")) == 1)
-    ones = for_each_salt(ones.select("key", *[F.col(c).alias(f"{c}_1") for c in ("set", "short", "far", "n", "differ", "place", "spare", "component")]))
+    ones = ones.select("key", *[F.col(c).alias(f"{c}_1") for c in ("set", "short", "far", "n", "differ", "place", "spare", "component")])
     # the first shared elements, one more than the pair and both sets may leave, have their place before these
     left = F.col("spare") + F.col("spare_1") + F.least("spare", "spare_1")
     q = F.expr(f"CAST(ceil((differ + differ_1 - (n + n_1) * {100 - PERCENT} / {100 + PERCENT}D) / 2 - 1e-6) AS BIGINT)")
     room = (F.col("place") <= F.col("differ") - q + left) & (F.col("place_1") <= F.col("differ_1") - q + left)
     fits = F.expr(f"component <> component_1 AND short + short_1 > 0 AND far + far_1 > 0 AND 100 * least(n, n_1) >= {PERCENT} * greatest(n, n_1)")
-    met = salted(rows.drop("rank")).join(ones, ["key", "salt"]).filter(fits & room)
+    met = rows.drop("rank").join(ones, "key").filter(fits & room)
     met = met.select("node", "key", F.least("set", "set_1").alias("centre"), F.greatest("set", "set_1").alias("set"), F.least("spare", "spare_1").alias("spare")).distinct()
     direct = met.groupBy("node", "centre", "set").agg(F.count("*").alias("shared"), F.max("spare").alias("spare")).filter("shared > spare")
     long = lists.filter(F.least("shorts", "fars") > FEW)

@@ -264,6 +264,7 @@ def test_jaccard_join_equals_brute_force(spark):
 @pytest.mark.parametrize("hot", [4, 1024])
 def test_jaccard_join_of_a_large_group_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard_join, "HOT_LIST", hot)
+    monkeypatch.setattr(jaccard_join, "FEW", 64 if hot == 4 else 16)
     monkeypatch.setattr(jaccard_join, "CENTRE_ROWS", 50)
     docs = large_group(seed=hot)
     expected = brute_groups(docs)
@@ -282,7 +283,7 @@ def test_jaccard_join_makes_pairs_in_proportion_to_a_group(spark, monkeypatch):
     compared = jaccard_join.compared
     monkeypatch.setattr(jaccard_join, "compared", lambda pairs, *more: (made.append(pairs.count()), compared(pairs, *more))[1])
     monkeypatch.setattr(jaccard_join, "HOT_LIST", 64)
-    for n in (400, 1600):
+    for n in (300, 1200):
         joined(spark, large_group(n))
         made.append(None)
     small, large = (sum(made[: made.index(None)]), sum(x for x in made[made.index(None) + 1 :] if x))
