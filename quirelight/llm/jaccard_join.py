@@ -349,7 +349,16 @@ def next_pairs(rows: DataFrame) -> DataFrame:
     """(centre, set, more): the pairs that the lists of differences ask for. Rows also have the node (a centre and a kind of prefix),
     n, the size of the difference, the place in it, and what the set surely shares with a partner of the node."""
     ends = rows.groupBy("key").agg(F.max("short").alias("short"), F.max("far").alias("far"), F.min("component").alias("low"), F.max("component").alias("high"))
-    kept = durable(rows.join(ends.filter("short > 0 AND far > 0 AND low <> high").select("key"), "key", "left_semi"), "listed")
+    ends = durable(ends.filter("short > 0 AND far > 0 AND low <> high").select("key"), "ends")
+    # most rows are alone in their list: a bitmap of the lists' keys keeps them out of the shuffle, the join is exact
+    shipped = rows.sparkSession.sparkContext.broadcast(key_bitmap(ends, ends.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shipped.value, batch.column(0).to_numpy())))
+
+    rows = rows.select("key", *[c for c in rows.columns if c != "key"])
+    kept = durable(rows.mapInArrow(run, rows.schema).join(ends, "key", "left_semi"), "listed")
     alive = kept.groupBy("node", "set").agg(F.count("*").alias("lists"), F.first("sure").alias("sure")).filter("lists >= sure").select("node", "set")
     rows = durable(kept.join(alive, ["node", "set"], "left_semi").withColumn("spare", F.expr("(sure - 1) div 3")), "alive")
     lists = durable(lists_of(rows), "lists")
