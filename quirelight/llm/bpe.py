@@ -3,7 +3,8 @@
 A word is held as its part ids, which mark the boundaries, beside an array with the rank of every adjacent
 pair. The smallest rank is found by scanning the array; its boundary is deleted and the two neighbouring ranks
 are looked up anew. A word over LONG_WORD bytes keeps its ranks in a heap instead, with the same result, so a
-run of letters without end costs n log n. Words repeat, so their ids are kept in bounded caches.
+run of letters without end costs n log n. Words repeat, so their ids are kept in bounded caches. A run with a character that the
+library of the vocabulary takes for another class (its Unicode tables differ from this module's) is encoded by the library.
 
 Defined results: a null text counts as empty, and an empty text has no ids; repeated rows give repeated rows;
 other columns are ignored.
@@ -67,6 +68,8 @@ class ByteBpe:
         self.words = regex.compile(PATTERN)
         longest_first = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(longest_first) + ")") if longest_first else None
+        self.path, self.library = path, None
+        self.same_class: dict[str, bool] = {}
         self.word_cache: dict[str, bytes] = {}
         self.run_cache: dict[str, bytes] = {}
 
@@ -113,9 +116,26 @@ class ByteBpe:
                 heapq.heappush(heap, (r, h))
         return [x for x in ids if x >= 0]
 
+    def _agrees(self, c: str) -> bool:
+        """Whether the pattern's classes of a character are those of the vocabulary's own library: Unicode versions differ in the newest letters."""
+        if c not in self.same_class:
+            whole = lambda t: len(self.library.pre_tokenizer.pre_tokenize_str(t)) == 1
+            own = lambda t: len(self.words.findall(t)) == 1
+            self.same_class[c] = all(whole(x + c) == own(x + c) for x in "a1!")
+        return self.same_class[c]
+
     def _run(self, run: str) -> bytes:
         """Ids of a run that no word crosses, as little-endian uint32 bytes."""
         out, cache = [], self.word_cache
+        if not run.isascii():
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+                self.library.no_truncation()
+                self.library.no_padding()
+            if not all(self._agrees(c) for c in set(run) if c > "\x7f"):
+                return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
         for word in self.words.findall(run):
             ids = cache.get(word)
             if ids is None:

@@ -4,8 +4,7 @@ Bytes become learned vectors; learned filters of WIDTH bytes slide by STEP bytes
 overlap by OVERLAP so that no window is lost at a chunk's end and every byte of a document is covered. A chunk's
 filters are max-pooled; a document is the largest and the mean of its chunks' pools, which a small dense layer
 combines into one probability. Training (Adam, backpropagation through the pooled windows) takes a bounded
-sample of labelled rows (SAMPLE_ROWS, the rows with the smallest hash of doc_id) and of the first
-TRAIN_CHUNKS, evenly spaced, chunks of each; scoring reads whole texts, in a pass without a shuffle. The model is some
+sample of labelled rows (SAMPLE_ROWS, the rows with the smallest hash of doc_id), whole texts; scoring reads whole texts, in a pass without a shuffle. The model is some
 20 kB, whatever the input.
 
 Defined results: a null or empty text is one chunk of padding; repeated rows give repeated rows; rows without a
@@ -24,9 +23,8 @@ from pyspark.sql import functions as F
 
 from quirelight.llm.common import buffers_of, fold, prepare, slices, text_of
 
-#: Labelled rows that training takes at most, and chunks of each.
-SAMPLE_ROWS = 6000
-TRAIN_CHUNKS = 6
+#: Labelled rows that training takes at most, with their whole texts.
+SAMPLE_ROWS = 4000
 EPOCHS = 5
 BATCH = 32
 RATE = 0.01
@@ -112,7 +110,7 @@ class Network:
 
 
 def fit(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Network:
-    """A network from (chunks, label) pairs. The rarer label weighs as much as its share; order is seeded."""
+    """A network from (chunks, label) pairs; their order is seeded."""
     net = Network()
     moments = {n: (np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))) for n in net.NAMES}
     t = 0
@@ -143,7 +141,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
             out = []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 starts = chunk_starts(int(b - a))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(len(starts), TRAIN_CHUNKS)).astype(int))]
                 out.append(chunk_bytes(data, starts + a, np.full(len(starts), b)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "chunks"])
 

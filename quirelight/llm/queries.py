@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelight.llm import bpe, context_tree, exact_dedup, html_text, jaccard_join, packing, pii, quality, toxicity, vector_join
 from quirelight.llm.common import table
 
-#: Folder of the public tokenizer files; a parameter of the operators, set here for the queries.
-TOKENIZERS = os.environ.get("QUIRELIGHT_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """The place of a public tokenizer file; a parameter of the operators, set here for the queries."""
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

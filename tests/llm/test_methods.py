@@ -66,7 +66,7 @@ def grouped(ids, links):
 def test_bpe_equals_the_library():
     own, lib = bpe.vocabulary(f"{TOKENIZERS}/byte_bpe_50k.json"), load(f"{TOKENIZERS}/byte_bpe_50k.json")
     r = random.Random(1)
-    parts = ["a", " ", "  ", "\n", "\t", " \n", "'s", "é", "日本", "12", "!", "\x1c", "\u0085", "　", "<|endoftext|>", "<|endo", "́", "😀", " the", "​", "Hello,"]
+    parts = ["a", " ", "  ", "\n", "\t", " \n", "'s", "é", "日本", "12", "!", "\x1c", "\u0085", "　", "<|endoftext|>", "<|endo", "́", "😀", " the", "​", "Hello,", "\ua7dd", "\U00018e6b", "'ll"]
     texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(3000)] + ["x" * 700 + "ab" * 300]
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
