@@ -40,12 +40,12 @@ def to_tensor(img: np.ndarray) -> np.ndarray:
 
 
 def mask_of(prob: np.ndarray, threshold: float = MASK_FROM) -> np.ndarray:
-    """Over the threshold, and what lies right of, below or diagonally after such a pixel."""
+    """Over the threshold, or left of, above or diagonally before such a pixel (G7): a pixel takes in its right and lower neighbours."""
     m = prob > threshold
     out = m.copy()
-    out[:, 1:] |= m[:, :-1]
-    out[1:] |= m[:-1]
-    out[1:, 1:] |= m[:-1, :-1]
+    out[:, :-1] |= m[:, 1:]
+    out[:-1] |= m[1:]
+    out[:-1, :-1] |= m[1:, 1:]
     return out
 
 
