@@ -60,7 +60,7 @@ _HIGH = 65535
 #: Cost of a candidate pair in postings, and of the share of chance candidates that each further match leaves.
 PAIR_COST = 4.0
 #: Postings that a task holds before it sends them.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Bytes of text for each owner of postings.
 OWNER_BYTES = 16 << 20
 #: Estimated sets of a shingle from which its list has no owner but is dealt in SALTS parts; an owner holds 1.5 MB of a shorter one.

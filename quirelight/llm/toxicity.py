@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quirelight.llm.common import PUNCTUATION, buffers_of, fold, packed, prepare, rows_of, slices, splitmix, text_of, word_hashes
 
 #: Labelled rows that training takes at most.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 7_000
 HASH_BITS = 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
