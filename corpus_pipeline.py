@@ -81,7 +81,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL has neither the tokenizer nor the learned model; tests hold run() against plain Python instead.
+#: SQL has neither the tokenizer nor the learned model; tests hold the deduplicating stages against expected rows.
 ORACLE_SQL = None
 
 
