@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import LOWER, buffers_of, durable, fold, packed, prepare, slices, splitmix, text_of, total_bytes, word_hashes, word_spans
+from quirelight.llm.common import LOWER, buffers_of, durable, fold, ordered, packed, prepare, slices, splitmix, text_of, total_bytes, word_hashes, word_spans
 
 #: Context bytes; the gram of a context and its byte takes DEPTH + 1 of a key's eight bytes.
 DEPTH = 5
@@ -328,9 +328,22 @@ def score(docs: DataFrame, trained: Column) -> DataFrame:
         keys: dict[int, list] = {0: [], 1: []}
         for a, b in slices(offsets):
             part = offsets[a : b + 1]
-            keys[0].append(np.unique(tokens_of(data, part)[0]))
-            keys[1].append(np.unique(grams(*streams(data, part))))
-        return {kind: np.unique(np.concatenate(x)) for kind, x in keys.items()}
+            keys[0].append(ordered(tokens_of(data, part)[0]))
+            keys[1].append(ordered(grams(*streams(data, part))))
+        return {kind: ordered(np.concatenate(x)) for kind, x in keys.items()}
+
+    def located(text: pa.ChunkedArray) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """For each slice and kind: its distinct keys in order, each element's position in them, and the rows' offsets."""
+        data, offsets = buffers_of(text)
+        for a, b in slices(offsets):
+            part = offsets[a : b + 1]
+            words, words_at = tokens_of(data, part)
+            stream, stream_at = streams(data, part)
+            out = {}
+            for kind, values, at in ((0, words, words_at), (1, grams(stream, stream_at), stream_at)):
+                keys, where = np.unique(values, return_inverse=True)
+                out[kind] = keys, where.astype(np.int32), at
+            yield out
 
     def ask(group: pa.Table) -> pa.Table:
         block = group["block"][0].as_py()
@@ -344,7 +357,7 @@ def score(docs: DataFrame, trained: Column) -> DataFrame:
         kind = asked["kind"][0].as_py()
         keys, counts = (np.frombuffer(known[c][0].as_buffer(), t) if known.num_rows else np.zeros(0, t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
         wanted = [np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()]
-        every = np.unique(np.concatenate(wanted))
+        every = ordered(np.concatenate(wanted))
         if kind == 0:
             at = np.minimum(np.searchsorted(keys, every), max(len(keys) - 1, 0))
             values = np.where(keys[at] == every, counts[at], 0) if len(keys) else np.zeros(len(every), np.int64)
@@ -354,24 +367,21 @@ def score(docs: DataFrame, trained: Column) -> DataFrame:
         return pa.Table.from_arrays([asked["block"], asked["kind"], asked["owner"], packed(out)], ["block", "kind", "owner", "values"])
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = distinct(group["text"])
+        parts = list(located(group["text"]))
+        keys = {kind: ordered(np.concatenate([p[kind][0] for p in parts])) for kind in (0, 1)}
         values = {0: np.zeros(len(keys[0]), np.int64), 1: np.zeros(len(keys[1]), np.float32)}
         owner = {kind: OWNER[kind](k, owners) for kind, k in keys.items()}
         for kind, o, raw in zip(answers["kind"].to_pylist(), answers["owner"].to_pylist(), answers["values"].to_pylist(), strict=True):
             values[kind][owner[kind] == o] = np.frombuffer(raw, values[kind].dtype)
-        data, offsets = buffers_of(group["text"])
         tokens, known, base, model = [], [], [], []
-        weights = np.log10(values[0] + 0.5)
-        for a, b in slices(offsets):
-            part = offsets[a : b + 1]
-            words, at = tokens_of(data, part)
-            where = np.searchsorted(keys[0], words)
+        for p in parts:
+            found, where, at = p[0]
+            count = values[0][np.searchsorted(keys[0], found)]
             tokens.append(np.diff(at))
-            known.append(np.add.reduceat((values[0][where] > 0).astype(np.int64), at[:-1]))
-            base.append(np.add.reduceat(weights[where], at[:-1]))
-            stream, at = streams(data, part)
-            where = np.searchsorted(keys[1], grams(stream, at))
-            model.append(np.add.reduceat(values[1][where].astype(np.float64), at[:-1]))
+            known.append(np.add.reduceat((count > 0).astype(np.int64)[where], at[:-1]))
+            base.append(np.add.reduceat(np.log10(count + 0.5)[where], at[:-1]))
+            found, where, at = p[1]
+            model.append(np.add.reduceat(values[1][np.searchsorted(keys[1], found)].astype(np.float64)[where], at[:-1]))
         tokens, known, base, model = (np.concatenate(x) for x in (tokens, known, base, model))
         base = base - tokens * np.log10(n + 0.5 * (v + 1))
         return pa.Table.from_arrays([group["doc_id"], group["held_out"], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(tokens), n), pa.int64()), pa.array(base), pa.array(model)], [x.split()[0] for x in SCHEMA.split(", ")])
