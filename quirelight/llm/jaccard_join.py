@@ -27,7 +27,8 @@ Once a pair's sizes are known, it needs the smaller m of the two and what its ov
    linked sets are within 1 - t of each other in their distance from the centre: those over 3(1 - t) meet by prefixes of the
    sets themselves, those up to 2(1 - t) by differences, and those between by both. The rank of a pair's centres falls from round to round,
    so the rounds end, and no pair is lost on the way.
-5. Verification compares whole sets of 64-bit hashes; only sets that are in a pair are written, once, and read in each round.
+5. Verification compares whole sets of 64-bit hashes; only sets that are in a pair are written, and each round
+   shuffles those of its own pairs alone.
 
 Defined results: a null or blank text has no shingle, links with nothing and is its own component; fewer words than
 five make one shingle; repeated rows share their class; very long texts are hashed whole, in slices; an empty table gives
@@ -383,9 +384,13 @@ def next_pairs(rows: DataFrame) -> DataFrame:
     return durable(pairs.groupBy("centre", "set").agg(F.max("more").alias("more")), "pairs")
 
 
+def members_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("centre", "set")).alias("set")).distinct()
+
+
 def sets_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """(set, hashes): the whole sets that are in a pair, once each."""
-    members = pairs.select(F.explode(F.array("centre", "set")).alias("set")).distinct()
+    """(set, hashes): the whole sets that are in a pair, at most once from each task; who joins them takes one of each."""
+    members = members_of(pairs)
     shipped = texts.sparkSession.sparkContext.broadcast(key_bitmap(members, members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +405,19 @@ def sets_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), packed(sets)], ["set", "hashes"])
 
-    return durable(texts.select("text").mapInArrow(run, "set long, hashes binary").groupBy("set").agg(F.first("hashes").alias("hashes")), "hashes")
+    return durable(texts.select("text").mapInArrow(run, "set long, hashes binary"), "hashes")
+
+
+def sets_in(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row of each set that is in these pairs: a bitmap keeps the others out of the shuffle, which the joins on `set` share."""
+    members = members_of(pairs)
+    shipped = sets.sparkSession.sparkContext.broadcast(key_bitmap(members, members.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shipped.value, batch.column(0).to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema).groupBy("set").agg(F.first("hashes").alias("hashes"))
 
 
 def ordered(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -447,6 +464,7 @@ def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool,
 def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
     """Rows (centre, set, null...) of pairs that are links, and rows (null, null, key, node, set...) of the differences' prefixes."""
     centres = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
+    sets = sets_in(sets, pairs)
     dealt = pairs.join(centres, "centre").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     of_centre = sets.withColumnRenamed("set", "centre").join(centres, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("middle"))
     whole = dealt.join(of_centre, ["centre", "part"]).select("centre", "set", "more", "middle").join(sets, "set")
