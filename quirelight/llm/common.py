@@ -6,12 +6,13 @@ word hashing in numpy. None of it collects anything whose size grows with the in
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -93,6 +94,19 @@ def total_bytes(df: DataFrame, text: Column) -> int:
     return int(df.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same pass, whose worker gives freed memory back to the system at its end: Spark keeps workers for later stages."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return passed
+
+
 # --- Arrow text columns -------------------------------------------------------------------------
 
 
@@ -243,7 +257,7 @@ def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in held])], ["segment", "bits"])
 
     out = np.zeros((_SEGMENTS, bits // 8 // _SEGMENTS), np.uint8)
-    for r in keys.mapInArrow(parts, "segment int, bits binary").repartition(_SEGMENTS, "segment").mapInArrow(_bitmap_or, "segment int, bits binary").collect():
+    for r in keys.mapInArrow(lean(parts), "segment int, bits binary").repartition(_SEGMENTS, "segment").mapInArrow(lean(_bitmap_or), "segment int, bits binary").collect():
         out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 

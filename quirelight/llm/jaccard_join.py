@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import buffers_of, components, durable, in_bitmap, key_bitmap, packed, prepare, slices, splitmix, text_of, total_bytes, word_hashes
+from quirelight.llm.common import buffers_of, components, durable, in_bitmap, key_bitmap, lean, packed, prepare, slices, splitmix, text_of, total_bytes, word_hashes
 
 WORDS = 5
 #: Similarity in percent.
@@ -146,10 +146,10 @@ def survey(texts: DataFrame, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
         none = pa.nulls(_SEGMENTS, pa.int64())
         yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(range(_SEGMENTS), pa.int32()), packed([pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts])], names)
 
-    found = durable(texts.mapInArrow(run, "doc_id long, n long, set long, proof long, segment int, counts binary"), "sets")
+    found = durable(texts.mapInArrow(lean(run), "doc_id long, n long, set long, proof long, segment int, counts binary"), "sets")
     sums = found.filter("segment >= 0").select("segment", "counts").repartition(_SEGMENTS, "segment")
     sketch = np.zeros((_SEGMENTS, (1 << SKETCH_BITS) // _SEGMENTS), np.uint8)
-    for r in sums.mapInArrow(_sum_sketch, "segment int, counts binary").collect():
+    for r in sums.mapInArrow(lean(_sum_sketch), "segment int, counts binary").collect():
         sketch[r["segment"]] = np.frombuffer(r["counts"], np.uint8)
     return found.filter("segment = -1").select("doc_id", "n", "set", "proof"), sketch.reshape(-1)
 
@@ -293,9 +293,9 @@ def prefix_pairs(texts: DataFrame, sketch, owners: int, seed: int) -> DataFrame:
                 columns = (p["key"].copy().view(np.int64), p["set"], rank(p["set"].copy(), p["common"]), (p["bits"] & 1).astype(np.int64), np.ones(len(p), np.int64), info)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "set", "rank", "short", "far", "info"])
 
-    sent = texts.select("text").mapInArrow(run, "owner int, postings binary")
+    sent = texts.select("text").mapInArrow(lean(run), "owner int, postings binary")
     owners_found = durable(sent.groupBy("owner").applyInArrow(owned, columns), "owned")
-    dealt = owners_found.filter("postings IS NOT NULL").select("postings").mapInArrow(rows, "key long, set long, rank long, short long, far long, info long")
+    dealt = owners_found.filter("postings IS NOT NULL").select("postings").mapInArrow(lean(rows), "key long, set long, rank long, short long, far long, info long")
     dealt = durable(dealt.dropDuplicates(["key", "set"]), "hot")
     hot = centred(dealt.withColumn("node", F.lit(0)), lists_of(dealt), SALTS).drop("node")
     met = owners_found.filter("postings IS NULL").drop("postings").unionByName(hot)
@@ -359,7 +359,7 @@ def next_pairs(rows: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(in_bitmap(shipped.value, batch.column(0).to_numpy())))
 
     rows = rows.select("key", *[c for c in rows.columns if c != "key"])
-    kept = durable(rows.mapInArrow(run, rows.schema).join(ends, "key", "left_semi"), "listed")
+    kept = durable(rows.mapInArrow(lean(run), rows.schema).join(ends, "key", "left_semi"), "listed")
     alive = kept.groupBy("node", "set").agg(F.count("*").alias("lists"), F.first("sure").alias("sure")).filter("lists >= sure").select("node", "set")
     rows = durable(kept.join(alive, ["node", "set"], "left_semi").withColumn("spare", F.expr("(sure - 1) div 3")), "alive")
     lists = durable(lists_of(rows), "lists")
@@ -405,7 +405,7 @@ def sets_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), packed(sets)], ["set", "hashes"])
 
-    return durable(texts.select("text").mapInArrow(run, "set long, hashes binary"), "hashes")
+    return durable(texts.select("text").mapInArrow(lean(run), "set long, hashes binary"), "hashes")
 
 
 def sets_in(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ def sets_in(sets: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(shipped.value, batch.column(0).to_numpy())))
 
-    return sets.mapInArrow(run, sets.schema).groupBy("set").agg(F.first("hashes").alias("hashes"))
+    return sets.mapInArrow(lean(run), sets.schema).groupBy("set").agg(F.first("hashes").alias("hashes"))
 
 
 def ordered(elements: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -497,7 +497,7 @@ def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), pa.int64())] * len(flat)], names)
             yield pa.RecordBatch.from_arrays([none, none, *[pa.array(v) for v in flat]], names)
 
-    return durable(whole.select("centre", "set", "more", "middle", "hashes").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "compared")
+    return durable(whole.select("centre", "set", "more", "middle", "hashes").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)), "compared")
 
 
 def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import PUNCTUATION, buffers_of, fold, packed, prepare, rows_of, slices, splitmix, text_of, word_hashes
+from quirelight.llm.common import PUNCTUATION, buffers_of, fold, lean, packed, prepare, rows_of, slices, splitmix, text_of, word_hashes
 
 #: Labelled rows that training takes at most.
 SAMPLE_ROWS = 7_000
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample
     # the keys are at most sample_rows rows
     sample = texts.join(F.broadcast(keys), "doc_id").select("label", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # the collected bytes are the examples' only copy: four bytes for each distinct slot of a sampled text
-    examples = sorted((bytes(r["slots"]), r["label"]) for r in sample.select("label", "text").mapInArrow(_features, "label int, slots binary").collect())
+    examples = sorted((bytes(r["slots"]), r["label"]) for r in sample.select("label", "text").mapInArrow(lean(_features), "label int, slots binary").collect())
     examples = [(np.frombuffer(s, "<u4"), y) for s, y in examples]
     model = Ftrl(1 << HASH_BITS)
     for epoch in range(EPOCHS if examples else 0):
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], held_out
             p = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -157,4 +157,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 found.append(score_slots(*word_hashes(data, offsets[a : b + 1], PUNCTUATION), dense, bias))
             yield batch.filter(pa.array(np.concatenate(found) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
