@@ -296,15 +296,16 @@ def degrade(img: np.ndarray, kind: str, seed: int = 0) -> np.ndarray:
 
 
 def jpeg_size(raw: bytes) -> tuple[int, int] | None:
-    """(width, height) from a JPEG's frame header."""
-    at = 2
-    while raw[:2] == b"\xff\xd8" and at + 9 <= len(raw):
-        if raw[at] != 0xFF:
-            return None
+    """(width, height) from a JPEG's frame header (S16); bytes between segments and fill bytes are passed over."""
+    at = 2 if raw[:2] == b"\xff\xd8" else len(raw)
+    while (at := raw.find(b"\xff", at)) >= 0 and at + 9 <= len(raw):
         marker = raw[at + 1]
         if marker in (0xC0, 0xC1, 0xC2):
             return int.from_bytes(raw[at + 7 : at + 9], "big"), int.from_bytes(raw[at + 5 : at + 7], "big")
-        at += 2 + (int.from_bytes(raw[at + 2 : at + 4], "big") if marker not in (0xFF, *range(0xD0, 0xD8)) else 0) - (marker == 0xFF)
+        if marker == 0xFF:
+            at += 1
+        else:
+            at += 2 if 0xD0 <= marker <= 0xD8 else 2 + int.from_bytes(raw[at + 2 : at + 4], "big")
     return None
 
 
@@ -315,7 +316,8 @@ def image_size(raw: bytes) -> tuple[int, int] | None:
     return jpeg_size(raw)
 
 
-def _pass(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, kinds: list[pa.DataType], make) -> DataFrame:
+def row_pass(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, kinds: list[pa.DataType], make) -> DataFrame:
+    """keys and outputs: make(*inputs) of each row, a tuple of Arrow kinds."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + f", {outputs}"
     names = [*keys, *[x.split()[0] for x in outputs.split(", ")]]
 
@@ -330,12 +332,12 @@ def _pass(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, kinds
 
 def image_sizes(images: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, width, height: null where the header is none of an image."""
-    return _pass(images, keys, [content], "width int, height int", [pa.int32(), pa.int32()], lambda raw: image_size(raw or b"") or (None, None))
+    return row_pass(images, keys, [content], "width int, height int", [pa.int32(), pa.int32()], lambda raw: image_size(raw or b"") or (None, None))
 
 
 def ordered_boxes(pages: DataFrame, keys: list[str]) -> DataFrame:
     """keys, position: row_order of a page's array `boxes` of (x, y)."""
-    return _pass(pages, keys, ["boxes"], "position array<int>", [pa.list_(pa.int32())], lambda boxes: (row_order([(b["x"], b["y"]) for b in boxes or []]),))
+    return row_pass(pages, keys, ["boxes"], "position array<int>", [pa.list_(pa.int32())], lambda boxes: (row_order([(b["x"], b["y"]) for b in boxes or []]),))
 
 
 def detected(maps: DataFrame, keys: list[str]) -> DataFrame:
@@ -346,4 +348,4 @@ def detected(maps: DataFrame, keys: list[str]) -> DataFrame:
         found = boxes_from_map(np.frombuffer(prob, np.float32).reshape(mh, mw), w, h)
         return ([{"box": b.tolist(), "score": s} for b, s in found],)
 
-    return _pass(maps, keys, ["prob", "map_width", "map_height", "width", "height"], "boxes array<struct<box:array<array<int>>,score:double>>", [kind], make)
+    return row_pass(maps, keys, ["prob", "map_width", "map_height", "width", "height"], "boxes array<struct<box:array<array<int>>,score:double>>", [kind], make)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,16 @@ def may_write(enforced: Column, state: Column) -> Column:
     return ~enforced | (state != "expired")
 
 
+def accepts(product: Column, accepted: list[str]) -> Column:
+    """Whether a receipt's product is among those accepted, by exact case."""
+    return product.isin(*accepted)
+
+
+def allowed(url: Column, prefixes: list[str]) -> Column:
+    """Whether an address begins with one of the allowed prefixes."""
+    return reduce(or_, [url.startswith(p) for p in prefixes], F.lit(False))
+
+
 def first_start(records: DataFrame, keys: list[str], machine: Column, now: Column) -> DataFrame:
     """The earliest start among a key's records of this machine, now if there is none."""
     fits = same_machine(F.col("fingerprint"), machine)

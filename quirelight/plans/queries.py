@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.functions import text as tx
 from quirelight.operators import decode, frames, geometry, layout, metrics, paragraphs, placement, status
+from quirelight.plans import page_queries  # noqa: F401, registers its queries
+from quirelight.plans.registry import BLOCKS, ORACLE_SQL, QUERIES, query, r6, table  # noqa: F401
 from quirelight.sources import bridge, files, sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
-BLOCKS = f"WITH {bridge.BLOCKS_SQL}"
 PAGE_WORDS = f"""{BLOCKS},
 pt AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY ord) AS r FROM blocks GROUP BY ALL),
 both_ AS (SELECT doc_id, page, r, {bridge.degraded_sql("r", "doc_id", 17)} AS e FROM pt),
@@ -164,12 +141,13 @@ def search_recall(spark, sf_dir):
 
 @query()
 def sequence_deltas(spark, sf_dir):
-    """Order-sensitive similarity of the raw and of the reordered blocks to the reading order, by page."""
-    rows = page_rows(spark, sf_dir).withColumn("gutter", layout.find_gutter(F.col("blocks"))).filter("gutter IS NOT NULL")
+    """Order-sensitive similarity of the raw and of the reordered blocks to the reading order, by page that counts."""
+    rows = page_rows(spark, sf_dir).withColumn("gutter", layout.find_gutter(F.col("blocks")))
     rows = rows.withColumn("ordered", layout.reading_order(F.col("blocks"), F.col("gutter")))
     truth = F.array_sort(F.transform("blocks", lambda b: F.struct(b["x0"], b["y0"], b["text"].alias("text"))))
     join = lambda c: tx.normalise(layout.page_text(c))
     rows = rows.select("doc_id", "page", join(truth).alias("truth"), join(F.col("blocks")).alias("raw"), join(F.col("ordered")).alias("col"))
+    rows = rows.filter(metrics.counted(F.length("truth")))
     rows = rows.withColumn("raw", metrics.sequence_ratio(F.col("truth"), F.col("raw"))).withColumn("col", metrics.sequence_ratio(F.col("truth"), F.col("col")))
     return rows.select("doc_id", "page", r6(F.col("raw")).alias("raw"), r6(F.col("col")).alias("col"), metrics.change(F.col("col") - F.col("raw")).alias("flag"))
 
@@ -307,7 +285,9 @@ def place_words(spark, sf_dir):
     block = lambda b: F.struct(*[points(b[k]).alias(k) for k in ("x0", "y0", "x1", "y1")], b["text"].alias("text"), none.alias("words"))
     rows = page_rows(spark, sf_dir).select("doc_id", "page", F.transform("blocks", block).alias("blocks"), F.lit(4000.0).alias("page_height"))
     placed = placement.place_words(rows, ["doc_id", "page"])
-    return placed.select("doc_id", "page", F.posexplode("placed").alias("word", "p"), F.length("content").alias("content_chars")).select("doc_id", "page", "word", "p.*", "content_chars")
+    # the stream's length is taken before words become rows: each row would carry the page's whole stream
+    placed = placed.select("doc_id", "page", "placed", F.length("content").alias("content_chars"))
+    return placed.select("doc_id", "page", F.posexplode("placed").alias("word", "p"), "content_chars").select("doc_id", "page", "word", "p.*", "content_chars")
 
 
 @query()
@@ -372,7 +352,7 @@ k AS (SELECT * FROM l WHERE c <> 0 AND (b IS NULL OR b <> c) AND c < 7),
 g AS (SELECT vec_id, string_agg(['', 'a', 'b', 'c', 'd', 'e', ' '][c + 1], '' ORDER BY t) AS text, round(avg(p), 5) AS score, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS selection FROM k GROUP BY ALL)
 SELECT e.vec_id, coalesce(g.text, '') AS text, coalesce(g.score, 0.0) AS score, coalesce(g.selection, '') AS selection FROM embeddings e LEFT JOIN g USING (vec_id)""")
 def ctc_decode(spark, sf_dir):
-    """Greedy decoding of score steps."""
+    """Greedy decoding of score steps."""
     rows = _steps(spark, sf_dir).select("vec_id", decode.greedy_decode(F.col("steps"), F.array(*map(F.lit, _ALPHABET))).alias("d"))
     return rows.select("vec_id", "d.text", F.round("d.score", 5).alias("score"), F.array_join("d.selection", ",").alias("selection"))
 
@@ -475,7 +455,7 @@ def quad_measures(spark, sf_dir):
 
 @query("""SELECT s_suppkey, round((100.0 + s_suppkey % 500) * 700 + 2500, 3) AS area, ((100.0 + s_suppkey % 500) * 700 + 2500) / (612.0 * 792.0) >= 0.7 AS scan FROM supplier""")
 def scan_pages(spark, sf_dir):
-    """Image cover of pages from their graphics operators."""
+    """Image cover of pages from their graphics operators."""
     m = lambda *v: F.array(*[x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for x in v])
     none = m(1, 0, 0, 1, 0, 0)
     op = lambda name, matrix=none, image=False: F.struct(F.lit(name).alias("op"), matrix.alias("m"), F.lit(image).alias("image"))

@@ -11,9 +11,14 @@ from quirelight.functions.text import is_supported
 BLOCK = "struct<box:array<array<double>>,text:string,score:double,words:array<struct<text:string,box:array<array<double>>>>>"
 
 
-def binary_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """Files of a folder in the order of their paths."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).orderBy("path")
+def binary_files(spark: SparkSession, paths: list[str], glob: str = "*.pdf") -> DataFrame:
+    """Files of folders in the order of their paths (S1, S2, O7); contents are read only where they are selected."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).orderBy("path")
+
+
+def first_files(spark: SparkSession, paths: list[str], glob: str, n: int) -> DataFrame:
+    """The first n files in the order of their paths (S3)."""
+    return binary_files(spark, paths, glob).limit(n)
 
 
 def first_supported(paths: DataFrame, keys: list[str], path: str, position: str) -> DataFrame:
@@ -47,14 +52,14 @@ def page_texts(text: Column) -> Column:
     return F.split(text, "\f")
 
 
-_BOX = r'<word xMin="([\d.]+)" yMin="([\d.]+)" xMax="([\d.]+)" yMax="([\d.]+)"[^>]*>([^<]*)</word>'
+def bbox_words(xhtml: Column) -> Column:
+    """Words with their boxes, from extracted XHTML: a word tag's attributes by name, in any order."""
 
+    def word(tag: Column) -> Column:
+        side = lambda name: F.regexp_extract(tag, rf'\s{name}\s*=\s*"([^"]*)"', 1).try_cast("double")
+        return F.struct(side("xMin").alias("x0"), side("yMin").alias("y0"), side("xMax").alias("x1"), side("yMax").alias("y1"), F.split_part(tag, F.lit(">"), F.lit(2)).alias("text"))
 
-def bbox_words(xhtml: Column) -> Column:
-    """Words with their boxes, from extracted XHTML."""
-    group = lambda k: F.regexp_extract_all(xhtml, F.lit(_BOX), F.lit(k))
-    number = lambda k: F.transform(group(k), lambda v: v.cast("double"))
-    return F.arrays_zip(number(1).alias("x0"), number(2).alias("y0"), number(3).alias("x1"), number(4).alias("y1"), group(5).alias("text"))
+    return F.transform(F.regexp_extract_all(xhtml, F.lit(r"<word(\s[^>]*>[^<]*)</word>"), F.lit(1)), word)
 
 
 def info_field(text: Column, key: str) -> Column:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelight.operators.geometry import row_pass
 from quirelight.operators.placement import Page, operators
 
 # Fixed values of the document formats, in twips: A4, margins of an inch, an indent of two characters of 12 points.
@@ -99,7 +100,8 @@ def image_pdf(jpeg: bytes, width: int, height: int, dpi: float, blocks: list[dic
     w, h = width * scale, height * scale
     page = Page(h)
     box = lambda b: {**b, **{k: b[k] * scale for k in ("x0", "y0", "x1", "y1")}}
-    runs = [r for b in blocks for r in page.block({**box(b), "words": [box(x) for x in b.get("words") or []]})]
+    sides = lambda b: [b[k] * scale for k in ("x0", "y0", "x1", "y1")]
+    runs = [r for b in blocks for r in page.block(b["text"], *sides(b), [box(x) for x in b.get("words") or []])]
     cids = code_units([b["text"] for b in blocks])
     pdf = Pdf()
     image = pdf.add(f"<< /Type /XObject /Subtype /Image /Width {width} /Height {height} /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /DCTDecode >>", jpeg)
@@ -126,6 +128,12 @@ def to_docx(documents: DataFrame, keys: list[str]) -> DataFrame:
     return documents.select(*keys, "pages").mapInArrow(run, schema)
 
 
+def to_pdf(images: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, content: a one-page PDF from rows of jpeg, width, height, dpi and blocks in pixels (K2, K3)."""
+    make = lambda jpeg, w, h, dpi, blocks: (image_pdf(jpeg, w, h, dpi, blocks or []),)
+    return row_pass(images, keys, ["jpeg", "width", "height", "dpi", "blocks"], "content binary", [pa.binary()], make)
+
+
 def write_text(texts: DataFrame, path: str, text: str = "text") -> None:
     """Texts as text files (K7)."""
     texts.select(F.col(text).alias("value")).write.text(path)

@@ -178,7 +178,7 @@ def test_nearest_right_takes_the_closest_on_the_line(spark):
 def test_words_never_move_left_and_small_overlaps_are_cleared(spark):
     placed = placement.Page(800.0)
     words = [{"text": "ab", "x0": 10.0, "y0": 0.0, "x1": 30.0, "y1": 10.0}, {"text": "cd", "x0": 28.0, "y0": 1.0, "x1": 50.0, "y1": 11.0}, {"text": "far", "x0": 5.0, "y0": 0.0, "x1": 9.0, "y1": 10.0}]
-    runs = placed.block({"text": "ab cd far", "x0": 0.0, "y0": 0.0, "x1": 60.0, "y1": 10.0, "words": words})
+    runs = placed.block("ab cd far", 0.0, 0.0, 60.0, 10.0, words)
     assert [round(r.x0, 3) for r in runs] == [10.0, 33.12, 5.0]
     assert all(r.x0 >= w["x0"] for r, w in zip(runs, words))
     assert placement.operators(runs).startswith("BT\n3 Tr\n") and "<00610062> Tj" in placement.operators(runs)
