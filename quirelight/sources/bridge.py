@@ -14,7 +14,16 @@ LINE, PAGE = 60, 40
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than the cluster has cores, dealt to all of them; others as they are.
+
+    A file of few row groups is read by as few tasks, however small its splits are. A larger table is never shuffled here.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def lines_of(text: Column) -> Column:
