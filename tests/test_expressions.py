@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quirelight.functions import text as tx
 from quirelight.operators import decode, frames, layout, metrics, paragraphs, placement, status
-from quirelight.sources import files
+from quirelight.sources import files, sinks
 
 
 def one(spark, column, **values):
@@ -188,3 +188,31 @@ def test_sequence_ratio_keeps_the_junk_rule(spark):
     a, b = "ab" * 150, "ba" * 150
     r = spark.createDataFrame([(a, b), ("", "x")], "t string, g string").select(metrics.sequence_ratio(F.col("t"), F.col("g")).alias("r")).collect()
     assert r[0]["r"] == difflib.SequenceMatcher(None, a, b).ratio() and r[1]["r"] != r[1]["r"]
+
+
+def test_a_word_meets_only_what_ends_behind_its_start():
+    rng, plain = random.Random(3), []
+    found = placement.Extents()
+    for _ in range(400):
+        start, low, gap, cap = rng.uniform(0, 300), rng.choice([0.0, 40.0, rng.uniform(-50, 3000)]), rng.uniform(0.3, 9), rng.uniform(1, 60)
+        high, inside = low + rng.choice([-5.0, 10.0, 2500.0, float("inf")]), rng.random() < 0.5
+        expected = start
+        for a, b, end in plain:
+            if low < b - placement.TOUCH and high > a + placement.TOUCH and 0 < end + gap - expected <= cap and (expected < end or not inside):
+                expected = end + gap
+        assert found.clear(start, low, high, gap, cap, inside) == expected
+        plain.append((low, high, expected + 20))
+        found.add(low, high, expected + 20)
+
+
+def test_totals_of_no_pages_are_zero(spark):
+    none = spark.createDataFrame([], "chars int, delta double")
+    assert metrics.delta_totals(none, []).first().asDict() == {"pages": 0, "better": 0, "worse": 0, "mean_delta": 0.0}
+
+
+def test_caches_and_scores_are_read_back(spark, tmp_path):
+    blocks = spark.createDataFrame([("a", 200, "x", "text"), ("b", 150, "x", None)], "doc string, dpi int, engine string, text string")
+    sinks.write_cache(blocks, str(tmp_path / "cache"), ["doc", "dpi", "engine"])
+    sinks.write_scores(blocks.select("doc", "dpi"), str(tmp_path / "scores"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "cache")).select("doc", "dpi", "text").collect())) == [("a", 200, "text"), ("b", 150, None)]
+    assert spark.read.json(str(tmp_path / "scores")).count() == 2
