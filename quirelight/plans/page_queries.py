@@ -121,8 +121,8 @@ def accepted_codes(spark, sf_dir):
 
 @query("""SELECT * FROM (VALUES (1, 'benchmark.parquet'), (2, 'conversations.parquet'), (3, 'customer.parquet')) AS t(place, name)""")
 def first_inputs(spark, sf_dir):
-    """The first three files of a folder by name."""
-    found = files.first_files(spark, [sf_dir], "*.parquet", 3).select(tx.base_name(F.col("path")).alias("name"))
+    """The first three files of a folder by name, a table of several part files being one."""
+    found = files.first_entries(spark, [sf_dir], "*.parquet", 3).select(tx.base_name(F.col("path")).alias("name"))
     # three rows: one array holds them in order
     return found.agg(F.array_sort(F.collect_list("name")).alias("names")).select(F.posexplode("names").alias("p", "name")).select((F.col("p") + 1).alias("place"), "name")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,19 @@ def first_files(spark: SparkSession, paths: list[str], glob: str, n: int) -> Dat
     return binary_files(spark, paths, glob).limit(n)
 
 
+def first_entries(spark: SparkSession, folders: list[str], glob: str, n: int) -> DataFrame:
+    """path: the first n entries of folders in the order of their paths; a folder that the pattern names is one entry, whatever
+    lies in it (S1, S3). Only names are read, by Spark's own file systems; hidden ones, with . or _ first, are left out as in its scans."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(conf)
+        match = jvm.org.apache.hadoop.fs.GlobFilter(glob)
+        found += [e.getPath().toString() for e in system.listStatus(path, match) if e.getPath().getName()[0] not in "._"]
+    return spark.createDataFrame(pa.table({"path": pa.array(sorted(found)[:n], pa.string())}))
+
+
 def first_supported(paths: DataFrame, keys: list[str], path: str, position: str) -> DataFrame:
     """The first supported path of each key."""
     return paths.filter(is_supported(F.col(path))).groupBy(*keys).agg(F.min_by(path, position).alias(path))
