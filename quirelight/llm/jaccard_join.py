@@ -47,6 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelight.llm.common import buffers_of, components, durable, in_bitmap, key_bitmap, lean, packed, prepare, slices, splitmix, text_of, total_bytes, word_hashes
+from quirelight.llm.common import ordered as distinct
 
 WORDS = 5
 #: Similarity in percent.
@@ -60,6 +61,8 @@ _SEGMENTS = 64
 _HIGH = 65535
 #: Cost of a candidate pair in postings, and of the share of chance candidates that each further match leaves.
 PAIR_COST = 4.0
+#: Bytes of text that are hashed at once: their arrays stay in a core's cache.
+HASHED_BYTES = 1 << 18
 #: Postings that a task holds before it sends them.
 FLUSH = 400_000
 #: Bytes of text for each owner of postings.
@@ -92,7 +95,7 @@ def required_of_shorter(n):
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each row, sorted."""
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, HASHED_BYTES):
         words, at = word_hashes(data, offsets[a : b + 1])
         m = len(words) - WORDS + 1
         if m > 0:
@@ -102,7 +105,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             mixed = splitmix(mixed)
         for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if j - i >= WORDS:
-                yield np.unique(mixed[i : j - WORDS + 1])
+                yield distinct(mixed[i : j - WORDS + 1])
             elif j > i:
                 whole = np.uint64(j - i)
                 for w in words[i:j]:
@@ -123,6 +126,12 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def distinct_slots(shingles: np.ndarray) -> np.ndarray:
+    """The different slots of a sorted set: they are in order too."""
+    slots = _slots(shingles)
+    return slots[np.concatenate([[True], slots[1:] != slots[:-1]])] if len(slots) else slots
+
+
 def survey(texts: DataFrame, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, set, proof) of every document, and the document frequencies' sketch."""
     names = ["doc_id", "n", "set", "proof", "segment", "counts"]
@@ -137,7 +146,7 @@ def survey(texts: DataFrame, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
                 n.append(len(s))
                 ids.append(set_id(s, seed) if len(s) else None)
                 proofs.append(set_id(s, ~seed & 0xFFFF) if len(s) else None)
-                slots = np.unique(_slots(s))
+                slots = distinct_slots(s)
                 sketch[slots] = np.minimum(sketch[slots], _HIGH - 1) + 1
             rows = batch.num_rows
             longs = [pa.array(x, pa.int64()) for x in (n, ids, proofs)]
@@ -385,12 +394,12 @@ def next_pairs(rows: DataFrame) -> DataFrame:
 
 
 def members_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("centre", "set")).alias("set")).distinct()
+    """The sets that are in a pair, written once for the counts and bitmaps of a round."""
+    return durable(pairs.select(F.explode(F.array("centre", "set")).alias("set")).distinct(), "members")
 
 
-def sets_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """(set, hashes): the whole sets that are in a pair, at most once from each task; who joins them takes one of each."""
-    members = members_of(pairs)
+def sets_of(texts: DataFrame, members: DataFrame, seed: int) -> DataFrame:
+    """(set, hashes): the whole sets of these members, at most once from each task; who joins them takes one of each."""
     shipped = texts.sparkSession.sparkContext.broadcast(key_bitmap(members, members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,9 +417,8 @@ def sets_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     return durable(texts.select("text").mapInArrow(lean(run), "set long, hashes binary"), "hashes")
 
 
-def sets_in(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row of each set that is in these pairs: a bitmap keeps the others out of the shuffle, which the joins on `set` share."""
-    members = members_of(pairs)
+def sets_in(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of each of these members: a bitmap keeps the other sets out of the shuffle, which the joins on `set` share."""
     shipped = sets.sparkSession.sparkContext.broadcast(key_bitmap(members, members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,10 +469,10 @@ def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool,
     return far, out
 
 
-def compared(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, members: DataFrame, sketch) -> DataFrame:
     """Rows (centre, set, null...) of pairs that are links, and rows (null, null, key, node, set...) of the differences' prefixes."""
     centres = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
-    sets = sets_in(sets, pairs)
+    sets = sets_in(sets, members)
     dealt = pairs.join(centres, "centre").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     of_centre = sets.withColumnRenamed("set", "centre").join(centres, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("middle"))
     whole = dealt.join(of_centre, ["centre", "part"]).select("centre", "set", "more", "middle").join(sets, "set")
@@ -518,11 +526,11 @@ def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:
     enough = (F.col("shared") >= least) & F.expr(f"100 * na >= {PERCENT} * nb")
     pairs = durable(pairs.filter(F.col("more") | enough).select("centre", "set", "more"), "pairs")
     groups = pairs.select("set", F.col("set").alias("component")).limit(0)
-    if not pairs.take(1):
-        return groups
-    sets = sets_of(texts, pairs, seed)
+    sets = None
     while pairs.take(1):
-        step = compared(pairs, sets, shipped)
+        members = members_of(pairs)
+        sets = sets_of(texts, members, seed) if sets is None else sets
+        step = compared(pairs, sets, members, shipped)
         linked = step.filter("a IS NOT NULL").select("a", "b")
         groups = durable(components(groups.toDF("a", "b").unionByName(linked)).withColumnRenamed("node", "set"), "groups")
         rows = step.filter("key IS NOT NULL").drop("a", "b").join(groups, "set", "left").withColumn("component", F.coalesce("component", "set"))
