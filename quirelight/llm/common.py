@@ -7,6 +7,7 @@ word hashing in numpy. None of it collects anything whose size grows with the in
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -94,19 +95,44 @@ def total_bytes(df: DataFrame, text: Column) -> int:
     return int(df.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same pass, whose worker gives freed memory back to the system at its end: Spark keeps workers for later stages."""
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A cache of a Python worker that outlives a pass: tasks of the same stage go on with it, a lean pass of another empties it."""
+    return _caches.setdefault(name, {})
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same pass, whose worker gives freed memory back to the system at its end: Spark keeps workers for later stages.
+
+    At its start it drops the caches that other passes left in the worker, all but the one of this name.
+    """
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(keeps)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return passed
 
 
+def drop_caches(keeps: str) -> None:
+    left = [c for name, c in _caches.items() if c and name != keeps]
+    for c in left:
+        c.clear()
+    if left:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --- Arrow text columns -------------------------------------------------------------------------
 
 

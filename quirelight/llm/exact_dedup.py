@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import durable, in_bitmap, key_bitmap, packed, prepare, text_of
+from quirelight.llm.common import durable, in_bitmap, key_bitmap, lean, packed, prepare, text_of
 
 FINGERPRINT_BITS = 48
 #: A class with this share of all suspects goes by broadcast: 64 classes at most.
@@ -113,7 +113,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
             keep = in_bitmap(shipped.value, batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["doc_id", "text"]).filter(pa.array(keep))
 
-    possible = texts.select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(only, "doc_id long, text string")
+    possible = texts.select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(lean(only), "doc_id long, text string")
     classes = possible.groupBy(normal.alias("normal")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = durable(classes.filter("group_size > 1").select(F.unhex(F.sha2("normal", 256)).alias("sha"), "keep_id", "group_size"), "classes")
     hot = F.col("group_size") >= max(2, int(total * HOT_SHARE))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.llm.common import prepare, text_of
-from quirelight.llm.tokens import word_token_ids
+from quirelight.llm.tokens import tokenising, word_token_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -99,4 +99,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             yield _batch(rows)
         yield _batch(list(bins.drain()))
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tokenising(run), SCHEMA)

@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from quirelight.llm.bpe import ByteBpe, byte_symbols
+from quirelight.llm.common import lean, worker_cache
 
 #: Cached runs per Python worker; a full cache is emptied.
 CACHE_ENTRIES = 500_000
@@ -77,7 +79,7 @@ class _Runs(dict):
         return found
 
 
-_loaded: dict[str, _Runs] = {}
+_loaded: dict[str, _Runs] = worker_cache("tokens")
 
 
 def word_token_ids(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -96,3 +98,8 @@ def word_token_ids(path: str) -> Callable[[list[str]], list[bytes]]:
         return out
 
     return encode
+
+
+def tokenising(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A lean pass that keeps the ids of runs for the next task of its stage."""
+    return lean(run, "tokens")
