@@ -20,8 +20,9 @@ Once a pair's sizes are known, it needs the smaller m of the two and what its ov
    through it. If x is not near the centre and is near y, F(x) and F(y) must share elements: at least
    q = (|F(x)| + |F(y)| - (|x| + |y|)(1 - t) / (1 + t)) / 2. So prefixes of the differences, in an order of their own, give new and
    far shorter lists, in which one of a pair has the element in its short prefix and one is far from the centre. Lists with FEW short
-   or far sets pair those with the others, where the elements' places in both differences leave room for q; other lists
-   get centres in turn, until none is left (step 3 again). Lists and pairs inside a component of the links found so far are left
+   or far sets pair those with the others, where the elements' places in both differences leave room for q, and where the sets' marks
+   can be those of a link: an element more or less turns one bit of a set's marks, so two sets differ in as many elements as in bits at
+   least. Other lists of up to BLOCK sets are compared so in one block each. The rest get centres in turn, until none is left (step 3 again). Lists and pairs inside a component of the links found so far are left
    out; they cannot change it. In a group of copies, all that the group shares drops out of
    the differences; what is left in a prefix are a copy's own changes. Jaccard distances obey the triangle inequality, so
    linked sets are within 1 - t of each other in their distance from the centre: those over 3(1 - t) meet by prefixes of the
@@ -72,8 +73,12 @@ HOT_LIST = 1 << 16
 SALTS = 16
 #: Shared elements that differences from a centre ask for, and that sets far from a common centre do.
 DIFFERENCE_MATCHES, DISTANT_MATCHES = 4, 16
-#: Short or far sets of a list that are paired with each set of it; longer lists get a centre.
+#: Short or far sets of a list that are paired with each set of it.
 FEW = 64
+#: Sets of other lists that are compared in one block; longer lists get a centre.
+BLOCK = 1024
+#: Words of 64 bits that a set's marks have at most: sets beyond 2,000 shingles or so are told apart by them less and less.
+MARK_WORDS = 64
 #: Pairs with one centre that a copy of the centre's set serves.
 CENTRE_ROWS = 4096
 #: A class of equal sets with this share of all rows goes by broadcast: 64 classes at most.
@@ -355,11 +360,38 @@ def centred(rows: DataFrame, lists: DataFrame, salts: int = 1) -> DataFrame:
     return met.groupBy("node", "centre", "set").agg(F.count("*").alias("shared"), F.max("more").alias("more"), F.max("centre_info").alias("centre_info"), F.max("info").alias("info"))
 
 
-def next_pairs(rows: DataFrame) -> DataFrame:
+def block_pairs(block: pa.Table) -> pa.Table:
+    """The pairs (node, key, centre, set, spare) of one list that its rows allow: all are compared, by their places and marks."""
+    names = ("set", "short", "far", "n", "differ", "place", "spare", "component")
+    sets, short, far, n, differ, place, spare, component = (block[c].to_numpy() for c in names)
+    marks = block["marks"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sets), -1)
+    first, second = [], []
+    step = max(1, (1 << 20) // marks.size)
+    for a in range(0, len(sets), step):
+        i, j = np.arange(a, min(a + step, len(sets)))[:, None], np.arange(a, len(sets))[None, :]
+        total, left = n[i] + n[j], spare[i] + spare[j] + np.minimum(spare[i], spare[j])
+        q = np.ceil((differ[i] + differ[j] - total * (100 - PERCENT) / (100 + PERCENT)) / 2 - 1e-6)
+        fits = (i < j) & (component[i] != component[j]) & (short[i] + short[j] > 0) & (far[i] + far[j] > 0)
+        fits &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+        fits &= (place[i] <= differ[i] - q + left) & (place[j] <= differ[j] - q + left)
+        x, y = np.nonzero(fits)
+        x, y = x + a, y + a
+        turned = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+        close = (100 + PERCENT) * turned <= (100 - PERCENT) * (n[x] + n[y])
+        first.append(x[close])
+        second.append(y[close])
+    x, y = np.concatenate(first), np.concatenate(second)
+    node, key = (np.full(len(x), block[c][0].as_py(), np.int64) for c in ("node", "key"))
+    ends = np.minimum(sets[x], sets[y]), np.maximum(sets[x], sets[y])
+    return pa.table({"node": node, "key": key, "centre": ends[0], "set": ends[1], "spare": np.minimum(spare[x], spare[y])})
+
+
+def next_pairs(rows: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFrame:
     """(centre, set, more): the pairs that the lists of differences ask for. Rows also have the node (a centre and a kind of prefix),
-    n, the size of the difference, the place in it, and what the set surely shares with a partner of the node."""
-    ends = rows.groupBy("key").agg(F.max("short").alias("short"), F.max("far").alias("far"), F.min("component").alias("low"), F.max("component").alias("high"))
-    ends = durable(ends.filter("short > 0 AND far > 0 AND low <> high").select("key"), "ends")
+    n, the size of the difference, the place in it, and what the set surely shares with a partner of the node. marks has each set's
+    once for a node, groups the components so far."""
+    ends = rows.groupBy("key").agg(F.max("short").alias("short"), F.max("far").alias("far"), F.count("*").alias("size"))
+    ends = durable(ends.filter("short > 0 AND far > 0 AND size > 1").select("key"), "ends")
     # most rows are alone in their list: a bitmap of the lists' keys keeps them out of the shuffle, the join is exact
     shipped = rows.sparkSession.sparkContext.broadcast(key_bitmap(ends, ends.count()))
 
@@ -368,24 +400,31 @@ def next_pairs(rows: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(in_bitmap(shipped.value, batch.column(0).to_numpy())))
 
     rows = rows.select("key", *[c for c in rows.columns if c != "key"])
-    kept = durable(rows.mapInArrow(lean(run), rows.schema).join(ends, "key", "left_semi"), "listed")
+    kept = rows.mapInArrow(lean(run), rows.schema).join(ends, "key", "left_semi")
+    kept = durable(kept.join(groups, "set", "left").withColumn("component", F.coalesce("component", "set")), "listed")
+    apart = kept.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    kept = durable(kept.join(apart, "key", "left_semi"), "apart")
     alive = kept.groupBy("node", "set").agg(F.count("*").alias("lists"), F.first("sure").alias("sure")).filter("lists >= sure").select("node", "set")
     rows = durable(kept.join(alive, ["node", "set"], "left_semi").withColumn("spare", F.expr("(sure - 1) div 3")), "alive")
     lists = durable(lists_of(rows), "lists")
-    kind = F.when(F.col("fars") <= F.col("shorts"), "far").otherwise("short")
-    few = lists.filter(F.least("shorts", "fars") <= FEW).select("key", kind.alias("kind"))
+    few = F.least("shorts", "fars") <= FEW
+    kind = F.when(few & (F.col("fars") <= F.col("shorts")), "far").when(few, "short").when(F.col("size") <= BLOCK, "block").otherwise("long").alias("kind")
+    lists = lists.select("*", kind)
+    marked = rows.drop("rank").join(lists.filter("kind <> 'long'").select("key", "kind"), "key").join(marks, ["node", "set"])
+    marked = durable(marked, "marked")
     # at most FEW of a list
-    ones = rows.join(few, "key").filter(F.when(F.col("kind") == "far", F.col("far")).otherwise(F.col("short")) == 1)
-    ones = ones.select("key", *[F.col(c).alias(f"{c}_1") for c in ("set", "short", "far", "n", "differ", "place", "spare", "component")])
+    ones = marked.filter("kind = 'far' AND far = 1 OR kind = 'short' AND short = 1")
+    ones = ones.select("key", *[F.col(c).alias(f"{c}_1") for c in ("set", "short", "far", "n", "differ", "place", "spare", "component", "marks")])
     # the first shared elements, one more than the pair and both sets may leave, have their place before these
     left = F.col("spare") + F.col("spare_1") + F.least("spare", "spare_1")
     q = F.expr(f"CAST(ceil((differ + differ_1 - (n + n_1) * {100 - PERCENT} / {100 + PERCENT}D) / 2 - 1e-6) AS BIGINT)")
     room = (F.col("place") <= F.col("differ") - q + left) & (F.col("place_1") <= F.col("differ_1") - q + left)
     fits = F.expr(f"component <> component_1 AND short + short_1 > 0 AND far + far_1 > 0 AND 100 * least(n, n_1) >= {PERCENT} * greatest(n, n_1)")
-    met = rows.drop("rank").join(ones, "key").filter(fits & room)
+    met = marked.filter("kind <> 'block'").join(ones, "key").filter(fits & room & marks_allow())
     met = met.select("node", "key", F.least("set", "set_1").alias("centre"), F.greatest("set", "set_1").alias("set"), F.least("spare", "spare_1").alias("spare")).distinct()
-    direct = met.groupBy("node", "centre", "set").agg(F.count("*").alias("shared"), F.max("spare").alias("spare")).filter("shared > spare")
-    long = lists.filter(F.least("shorts", "fars") > FEW)
+    blocks = marked.filter("kind = 'block'").groupBy("key").applyInArrow(block_pairs, "node long, key long, centre long, set long, spare long")
+    direct = met.unionByName(blocks).groupBy("node", "centre", "set").agg(F.count("*").alias("shared"), F.max("spare").alias("spare")).filter("shared > spare")
+    long = lists.filter("kind = 'long'")
     stars = centred(rows.withColumn("info", F.col("spare")), long).filter("centre IS NOT NULL")
     so_far = F.sum("shared").over(Window.partitionBy("node", "set").orderBy("shared", "centre").rowsBetween(Window.unboundedPreceding, 0))
     stars = stars.withColumn("so_far", so_far).filter("so_far > info")
@@ -469,8 +508,23 @@ def difference(x: np.ndarray, c: np.ndarray, sketch: np.ndarray) -> tuple[bool,
     return far, out
 
 
+def marks_of(x: np.ndarray, n: int) -> np.ndarray:
+    """The marks of a set in words of 64 bits: for each bit whether an odd number of elements falls on it. The bits of all sets
+    that meet a centre of n shingles are as many, 2n to 4n; each element of a symmetric difference turns one."""
+    bits = 64 * min(MARK_WORDS, 1 << max(0, (int(n) - 1).bit_length() - 5))
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def marks_allow() -> Column:
+    """Whether two sets of n and n_1 shingles can link by their marks: linked sets differ in (n + n_1)(1 - t) / (1 + t) elements at most."""
+    turned = "aggregate(zip_with(marks, marks_1, (x, y) -> bit_count(x ^ y)), 0, (all, k) -> all + k)"
+    return F.coalesce(F.expr(f"{100 + PERCENT} * {turned} <= {100 - PERCENT} * (n + n_1)"), F.lit(True))
+
+
 def compared(pairs: DataFrame, sets: DataFrame, members: DataFrame, sketch) -> DataFrame:
-    """Rows (centre, set, null...) of pairs that are links, and rows (null, null, key, node, set...) of the differences' prefixes."""
+    """Rows (centre, set, null...) of pairs that are links, rows (null, null, key, node, set...) of the differences' prefixes, and
+    rows (null, null, null, node, set, null..., marks), one for each node and set of those."""
     centres = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
     sets = sets_in(sets, members)
     dealt = pairs.join(centres, "centre").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
@@ -481,6 +535,7 @@ def compared(pairs: DataFrame, sets: DataFrame, members: DataFrame, sketch) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, out = [], [], [[] for _ in names[2:]]
+            nodes, owners, marks = [], [], []
             centre, member, more = (batch.column(i).to_pylist() for i in range(3))
             for i in range(batch.num_rows):
                 c, x = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (3, 4))
@@ -494,6 +549,9 @@ def compared(pairs: DataFrame, sets: DataFrame, members: DataFrame, sketch) -> D
                         key = splitmix(prefix * _STEP + node).view(np.int64)
                         for column, v in zip(out, (key, node.view(np.int64)[0], ids[1], own[0], at < short, far, len(x), size, at, sure), strict=True):
                             column.append(np.broadcast_to(np.asarray(v, np.int64), at.shape))
+                        nodes.append(int(node.view(np.int64)[0]))
+                        owners.append(member[i])
+                        marks.append(marks_of(x, len(c)))
                 else:
                     both = len(np.intersect1d(x, c, assume_unique=True))
                     far = 100 * both < PERCENT * (len(x) + len(c) - both)
@@ -501,11 +559,15 @@ def compared(pairs: DataFrame, sets: DataFrame, members: DataFrame, sketch) -> D
                     a.append(centre[i])
                     b.append(member[i])
             flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in out]
-            none = pa.nulls(len(flat[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), pa.int64())] * len(flat)], names)
-            yield pa.RecordBatch.from_arrays([none, none, *[pa.array(v) for v in flat]], names)
+            none, of_links, of_nodes = (pa.nulls(k, pa.int64()) for k in (len(flat[0]), len(a), len(nodes)))
+            words = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[of_links] * len(flat), pa.nulls(len(a), words)], [*names, "marks"])
+            yield pa.RecordBatch.from_arrays([none, none, *[pa.array(v) for v in flat], pa.nulls(len(none), words)], [*names, "marks"])
+            held = [pa.array(nodes, pa.int64()), pa.array(owners, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[of_nodes] * 3, *held, *[of_nodes] * (len(names) - 5), pa.array(marks, words)], [*names, "marks"])
 
-    return durable(whole.select("centre", "set", "more", "middle", "hashes").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names)), "compared")
+    columns = ", ".join(f"{c} long" for c in names) + ", marks array<long>"
+    return durable(whole.select("centre", "set", "more", "middle", "hashes").mapInArrow(lean(run), columns), "compared")
 
 
 def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:
@@ -533,8 +595,8 @@ def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:
         step = compared(pairs, sets, members, shipped)
         linked = step.filter("a IS NOT NULL").select("a", "b")
         groups = durable(components(groups.toDF("a", "b").unionByName(linked)).withColumnRenamed("node", "set"), "groups")
-        rows = step.filter("key IS NOT NULL").drop("a", "b").join(groups, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        pairs = next_pairs(rows)
+        marks = step.filter("marks IS NOT NULL").select("node", "set", "marks")
+        pairs = next_pairs(step.filter("key IS NOT NULL").drop("a", "b", "marks"), marks, groups)
     return groups
 
 
