@@ -19,6 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,45 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """The driver gives back what its last passes left. Finished plans, results and broadcasts are garbage, but its heap grows to
+    its limit before it is collected, and what the JVM (its compiler, mostly) and Python have freed stays with their allocator."""
+    gc.collect()
+    jvm = spark._jvm
+    jvm.System.gc()
+    give_back()
+    # malloc_trim in the JVM; py4j finds the server's method by its interface alone. A JVM without the command keeps the memory
+    try:
+        ask = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        ask.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
+
+
+class Shipped:
+    """A broadcast array of fixed size. Its one broadcast copy is compressed; a task unpacks it when it first asks for its value."""
+
+    def __init__(self, spark: SparkSession, array: np.ndarray) -> None:
+        self._kind, self._bytes = array.dtype.str, array.nbytes
+        self._held = spark.sparkContext.broadcast(pa.compress(array.tobytes(), codec="zstd", asbytes=True))
+        self._array: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_array": None}
+
+    @property
+    def value(self) -> np.ndarray:
+        if self._array is None:
+            self._array = np.frombuffer(pa.decompress(self._held.value, self._bytes, codec="zstd"), self._kind)
+        return self._array
+
+    def free(self) -> None:
+        """For when all that reads it has been written: no copy stays with the driver or an executor."""
+        self._held.destroy()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -265,7 +305,7 @@ def _bitmap_or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd"), np.uint8)
             acc[s] = (acc[s] | v) if s in acc else v.copy()
     keep = sorted(acc)
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([acc[s].tobytes() for s in keep])], ["segment", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([pa.compress(acc[s].tobytes(), codec="zstd", asbytes=True) for s in keep])], ["segment", "bits"])
 
 
 def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
@@ -284,7 +324,7 @@ def key_bitmap(keys: DataFrame, count: int) -> np.ndarray:
 
     out = np.zeros((_SEGMENTS, bits // 8 // _SEGMENTS), np.uint8)
     for r in keys.mapInArrow(lean(parts), "segment int, bits binary").repartition(_SEGMENTS, "segment").mapInArrow(lean(_bitmap_or), "segment int, bits binary").collect():
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+        out[r["segment"]] = np.frombuffer(pa.decompress(r["bits"], out.shape[1], codec="zstd"), np.uint8)
     return out.reshape(-1)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import durable, in_bitmap, key_bitmap, lean, packed, prepare, text_of
+from quirelight.llm.common import Shipped, durable, in_bitmap, key_bitmap, lean, packed, prepare, settle, text_of
 
 FINGERPRINT_BITS = 48
 #: A class with this share of all suspects goes by broadcast: 64 classes at most.
@@ -106,7 +106,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     found = marked.filter("suspect")
     total = found.count()
     # some 16 bits a suspect say which doc_ids may be suspects; other rows that pass are groups of one
-    shipped = spark.sparkContext.broadcast(key_bitmap(found.select(F.xxhash64("doc_id").alias("key")), total))
+    shipped = Shipped(spark, key_bitmap(found.select(F.xxhash64("doc_id").alias("key")), total))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +116,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     possible = texts.select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(lean(only), "doc_id long, text string")
     classes = possible.groupBy(normal.alias("normal")).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = durable(classes.filter("group_size > 1").select(F.unhex(F.sha2("normal", 256)).alias("sha"), "keep_id", "group_size"), "classes")
+    shipped.free()
+    settle(spark)
     hot = F.col("group_size") >= max(2, int(total * HOT_SHARE))
     # at most 1 / HOT_SHARE classes
     first = found.join(F.broadcast(classes.filter(hot)), "sha", "left")

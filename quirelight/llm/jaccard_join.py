@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelight.llm.common import buffers_of, components, durable, in_bitmap, key_bitmap, lean, packed, prepare, slices, splitmix, text_of, total_bytes, word_hashes
+from quirelight.llm.common import Shipped, buffers_of, components, durable, in_bitmap, key_bitmap, lean, packed, prepare, settle, slices, splitmix, text_of, total_bytes, word_hashes
 from quirelight.llm.common import ordered as distinct
 
 WORDS = 5
@@ -164,7 +164,7 @@ def survey(texts: DataFrame, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     sums = found.filter("segment >= 0").select("segment", "counts").repartition(_SEGMENTS, "segment")
     sketch = np.zeros((_SEGMENTS, (1 << SKETCH_BITS) // _SEGMENTS), np.uint8)
     for r in sums.mapInArrow(lean(_sum_sketch), "segment int, counts binary").collect():
-        sketch[r["segment"]] = np.frombuffer(r["counts"], np.uint8)
+        sketch[r["segment"]] = np.frombuffer(pa.decompress(r["counts"], sketch.shape[1], codec="zstd"), np.uint8)
     return found.filter("segment = -1").select("doc_id", "n", "set", "proof"), sketch.reshape(-1)
 
 
@@ -182,7 +182,7 @@ def _sum_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             acc[s] = np.minimum(acc.get(s, 0) + part.astype(np.int64), 1 << 40)
     keep = sorted(acc)
     # a byte for each slot: counts over the segment's mean, rarer ones exact, others on a logarithmic scale
-    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([_scaled(acc[s]).tobytes() for s in keep])], ["segment", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), packed([pa.compress(_scaled(acc[s]).tobytes(), codec="zstd", asbytes=True) for s in keep])], ["segment", "counts"])
 
 
 def adaptive_prefix(shingles: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int, int, int]:
@@ -393,7 +393,7 @@ def next_pairs(rows: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFram
     ends = rows.groupBy("key").agg(F.max("short").alias("short"), F.max("far").alias("far"), F.count("*").alias("size"))
     ends = durable(ends.filter("short > 0 AND far > 0 AND size > 1").select("key"), "ends")
     # most rows are alone in their list: a bitmap of the lists' keys keeps them out of the shuffle, the join is exact
-    shipped = rows.sparkSession.sparkContext.broadcast(key_bitmap(ends, ends.count()))
+    shipped = Shipped(rows.sparkSession, key_bitmap(ends, ends.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,6 +402,7 @@ def next_pairs(rows: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFram
     rows = rows.select("key", *[c for c in rows.columns if c != "key"])
     kept = rows.mapInArrow(lean(run), rows.schema).join(ends, "key", "left_semi")
     kept = durable(kept.join(groups, "set", "left").withColumn("component", F.coalesce("component", "set")), "listed")
+    shipped.free()
     apart = kept.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     kept = durable(kept.join(apart, "key", "left_semi"), "apart")
     alive = kept.groupBy("node", "set").agg(F.count("*").alias("lists"), F.first("sure").alias("sure")).filter("lists >= sure").select("node", "set")
@@ -439,7 +440,7 @@ def members_of(pairs: DataFrame) -> DataFrame:
 
 def sets_of(texts: DataFrame, members: DataFrame, seed: int) -> DataFrame:
     """(set, hashes): the whole sets of these members, at most once from each task; who joins them takes one of each."""
-    shipped = texts.sparkSession.sparkContext.broadcast(key_bitmap(members, members.count()))
+    shipped = Shipped(texts.sparkSession, key_bitmap(members, members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -453,12 +454,13 @@ def sets_of(texts: DataFrame, members: DataFrame, seed: int) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), packed(sets)], ["set", "hashes"])
 
-    return durable(texts.select("text").mapInArrow(lean(run), "set long, hashes binary"), "hashes")
+    out = durable(texts.select("text").mapInArrow(lean(run), "set long, hashes binary"), "hashes")
+    shipped.free()
+    return out
 
 
-def sets_in(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """One row of each of these members: a bitmap keeps the other sets out of the shuffle, which the joins on `set` share."""
-    shipped = sets.sparkSession.sparkContext.broadcast(key_bitmap(members, members.count()))
+def sets_in(sets: DataFrame, shipped: Shipped) -> DataFrame:
+    """One row of each set of a bitmap of members: it keeps the other sets out of the shuffle, which the joins on `set` share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -526,7 +528,8 @@ def compared(pairs: DataFrame, sets: DataFrame, members: DataFrame, sketch) -> D
     """Rows (centre, set, null...) of pairs that are links, rows (null, null, key, node, set...) of the differences' prefixes, and
     rows (null, null, null, node, set, null..., marks), one for each node and set of those."""
     centres = pairs.groupBy("centre").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
-    sets = sets_in(sets, members)
+    taken = Shipped(pairs.sparkSession, key_bitmap(members, members.count()))
+    sets = sets_in(sets, taken)
     dealt = pairs.join(centres, "centre").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     of_centre = sets.withColumnRenamed("set", "centre").join(centres, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("middle"))
     whole = dealt.join(of_centre, ["centre", "part"]).select("centre", "set", "more", "middle").join(sets, "set")
@@ -567,13 +570,17 @@ def compared(pairs: DataFrame, sets: DataFrame, members: DataFrame, sketch) -> D
             yield pa.RecordBatch.from_arrays([*[of_nodes] * 3, *held, *[of_nodes] * (len(names) - 5), pa.array(marks, words)], [*names, "marks"])
 
     columns = ", ".join(f"{c} long" for c in names) + ", marks array<long>"
-    return durable(whole.select("centre", "set", "more", "middle", "hashes").mapInArrow(lean(run), columns), "compared")
+    out = durable(whole.select("centre", "set", "more", "middle", "hashes").mapInArrow(lean(run), columns), "compared")
+    taken.free()
+    return out
 
 
 def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:
     """(set, component) of the classes that have links."""
     owners = max(64, total_bytes(texts, F.col("text")) // OWNER_BYTES)
-    shipped = texts.sparkSession.sparkContext.broadcast(sketch)
+    spark = texts.sparkSession
+    shipped = Shipped(spark, sketch)
+    settle(spark)
     pairs = prefix_pairs(texts, shipped, int(owners), seed)
     # with sizes known, the overlap that a link needs raises the number of shared shingles over both sets' m; where the pair
     # shares them in lists of other centres that neither has left, those lists hold a third set and answer for it
@@ -587,6 +594,7 @@ def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:
     least = F.least(asked(small, "na") + overlap - of_small, asked(large, "nb") + overlap - of_large) - spare("na") - spare("nb")
     enough = (F.col("shared") >= least) & F.expr(f"100 * na >= {PERCENT} * nb")
     pairs = durable(pairs.filter(F.col("more") | enough).select("centre", "set", "more"), "pairs")
+    settle(spark)
     groups = pairs.select("set", F.col("set").alias("component")).limit(0)
     sets = None
     while pairs.take(1):
@@ -595,8 +603,11 @@ def links(texts: DataFrame, sketch: np.ndarray, seed: int = 0) -> DataFrame:
         step = compared(pairs, sets, members, shipped)
         linked = step.filter("a IS NOT NULL").select("a", "b")
         groups = durable(components(groups.toDF("a", "b").unionByName(linked)).withColumnRenamed("node", "set"), "groups")
+        settle(spark)
         marks = step.filter("marks IS NOT NULL").select("node", "set", "marks")
         pairs = next_pairs(step.filter("key IS NOT NULL").drop("a", "b", "marks"), marks, groups)
+        settle(spark)
+    shipped.free()
     return groups
 
 

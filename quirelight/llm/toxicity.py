@@ -45,14 +45,26 @@ def gram_slots(words: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
     return [(slots.astype(np.int64), rows) for slots, rows in out]
 
 
+def packed_slots(slots: np.ndarray) -> bytes:
+    """Slots in order, for the way to the driver: how many bytes their gaps take, then those, byte by byte of four, compressed."""
+    raw = np.diff(slots, prepend=0).astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked_slots(held: bytes) -> bytes:
+    """The slots as uint32 bytes."""
+    raw = np.frombuffer(pa.decompress(held[8:], int.from_bytes(held[:8], "little"), codec="zstd"), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4"), dtype=np.uint32).astype("<u4").tobytes()
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, distinct slots as uint32 bytes)."""
+    """(label, text) to (label, distinct slots: the gaps between them as uint32 bytes, compressed)."""
     for batch in batches:
         data, offsets = buffers_of(batch.column(1))
         out = []
         for i in range(batch.num_rows):
             words, counts = word_hashes(data, offsets[i : i + 2], PUNCTUATION)
-            out.append(np.unique(np.concatenate([s for s, _ in gram_slots(words, counts)])).astype("<u4").tobytes())
+            out.append(packed_slots(np.unique(np.concatenate([s for s, _ in gram_slots(words, counts)]))))
         yield pa.RecordBatch.from_arrays([batch.column(0), packed(out)], ["label", "slots"])
 
 
@@ -86,8 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # the keys are at most sample_rows rows
     sample = texts.join(F.broadcast(keys), "doc_id").select("label", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # the collected bytes are the examples' only copy: four bytes for each distinct slot of a sampled text
-    examples = sorted((bytes(r["slots"]), r["label"]) for r in sample.select("label", "text").mapInArrow(lean(_features), "label int, slots binary").collect())
+    # what is collected is compressed; unpacked, the examples have four bytes for each distinct slot of a sampled text
+    examples = sorted((unpacked_slots(bytes(r["slots"])), r["label"]) for r in sample.select("label", "text").mapInArrow(lean(_features), "label int, slots binary").collect())
     examples = [(np.frombuffer(s, "<u4"), y) for s, y in examples]
     model = Ftrl(1 << HASH_BITS)
     for epoch in range(EPOCHS if examples else 0):
